@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import decontaminate, fingerprint, mixing, quality, toxicity, urls
+from quotelens.llm import decontaminate, fingerprint, html, jaccard, mixing, pii, quality, toxicity, urls
 from quotelens.llm.common import crc_mod, table
 
 
@@ -35,10 +35,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(table(spark, sf_dir, "documents"))
 
 
+def op7_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs), ["doc_id"])
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -55,7 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_source_mix": op3_source_mix,
     "op4_toxicity": op4_toxicity,
+    "op5_main_text": op5_main_text,
     "op6_fingerprints": op6_fingerprints,
+    "op7_near_documents": op7_near_documents,
+    "op8_personal_data": op8_personal_data,
     "op9_quality": op9_quality,
 }
 
