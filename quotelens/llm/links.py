@@ -206,6 +206,20 @@ class KeyWriter:
         self.needs.append(need)
         self.size += len(keys)
 
+    def add_many(self, ids: np.ndarray, ns: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Classes with a row of keys each and a need of 1."""
+        for a in range(0, len(ids), 30_000):
+            s = slice(a, a + 30_000)
+            part = keys[s]
+            if len(self.ids) + len(part) > 65_535 or self.size + part.size > self.most:
+                yield from self.flush()
+            self.docs.append(np.repeat(np.arange(len(self.ids), len(self.ids) + len(part)), part.shape[1]).astype(np.uint16))
+            self.keys.append(part.reshape(-1))
+            self.ids += ids[s].tolist()
+            self.ns += ns[s].tolist()
+            self.needs += [1] * len(part)
+            self.size += part.size
+
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.ids:
             return

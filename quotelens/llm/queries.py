@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import decontaminate, fingerprint, html, jaccard, mixing, pii, quality, toxicity, urls
+from quotelens.llm import decontaminate, fingerprint, html, jaccard, mixing, paragraphs, pii, quality, toxicity, urls
 from quotelens.llm.common import crc_mod, table
 
 
@@ -63,6 +63,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_documents": op7_near_documents,
     "op8_personal_data": op8_personal_data,
     "op9_quality": op9_quality,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
