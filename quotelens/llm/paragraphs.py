@@ -24,7 +24,7 @@ from quotelens.llm.links import U
 BANDS, ROWS = 6, 2
 K = 5
 #: Words of a paragraph that is compared; of a run that is reported; of a gap inside a run.
-MIN_UNIT, MIN_RUN, GAP = 6, 20, 5
+MIN_UNIT, MIN_RUN, GAP = 6, 20, 8
 #: One word in so many ends a paragraph without being the end of a sentence.
 CUT = 32
 
@@ -46,7 +46,12 @@ class Units:
         if len(h):
             last[:-1] = (lines[starts[1:]] > lines[ends[:-1]]) | (owner[1:] != owner[:-1])
             last[-1] = True
+            line = last.copy()
             last |= stop | (mix64(h) % U(CUT) == 0)
+            # a short sentence goes with the next one of its line
+            ends_at = np.flatnonzero(last)
+            short = np.diff(ends_at, prepend=-1) < MIN_UNIT
+            last[ends_at[short]] = line[ends_at[short]]
         self.first = np.flatnonzero(np.concatenate([[True], last[:-1]])) if len(h) else np.zeros(0, int)
         size = np.diff(np.append(self.first, len(h)))
         doc = owner[self.first] if len(h) else np.zeros(0, int)
