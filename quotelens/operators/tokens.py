@@ -20,7 +20,8 @@ def tokens(df: DataFrame, key: str, col: str = "text") -> DataFrame:
 
 def _grams(w: Column, n: int) -> Column:
     at = F.sequence(F.lit(0), F.size(w) - n)
-    return F.when(F.size(w) >= n, F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    gram = lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
+    return F.when(F.size(w) >= n, F.transform(at, gram)).otherwise(F.array().cast("array<string>"))
 
 
 def grams(df: DataFrame, key: str, sizes=(2, 3), col: str = "text") -> DataFrame:

@@ -23,7 +23,16 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that come in fewer partitions than the cluster has cores are dealt out first.
+
+    Tokenising is the costly part, and a table of one row group would do it in one task. A large
+    table has many partitions as it is, and is read without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and df.rdd.getNumPartitions() < 2 * cores:
+        return df.repartition(cores)
+    return df
 
 
 #: SQL pieces shared by the oracles.
