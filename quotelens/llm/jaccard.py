@@ -117,6 +117,7 @@ def write_prefixes(docs: DataFrame, sketch: bytes, total: int, k: int, percent:
         counts = 2 ** (np.arange(256) / 8) - 1
         noise = float(counts[int(np.median(levels))])
         df = np.maximum(counts - noise, 0.05).astype(np.float32)[levels]
+        rare = levels <= np.ceil(8 * np.log2(noise + 3 * np.sqrt(noise) + 3))
         out, seen = links.KeyWriter(blocks), set()
 
         def each(values, _):
@@ -130,7 +131,8 @@ def write_prefixes(docs: DataFrame, sketch: bytes, total: int, k: int, percent:
                     seen.clear()
                 seen.add(i)
                 keys, need = prefix(s, levels, df, float(max(total, 1)), percent)
-                yield from out.add(i, len(s), need, mix64(keys))
+                share = rare[(s >> U(42)).astype(np.int64)].mean()
+                yield from out.add(i, len(s), need, int(255 * share), mix64(keys))
 
         return each, out.flush
 
@@ -153,10 +155,8 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     written = write_prefixes(docs, sketch, total, k, percent, blocks)
     shared = cut(links.shared_keys(written, blocks, percent / 100))
-    wanted = links.id_filter(links.alive(shared), "id")
-    sets = cut(links.sets_of(docs, "text", wanted, k))
-    labels = links.linked(shared, sets, percent, blocks)
-    drop(shared, sets)
+    labels = links.linked(shared, lambda ids: links.sets_of(docs, "text", links.id_filter(ids, "id"), k), percent, blocks)
+    drop(shared)
     firsts = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
     classes = firsts.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id"))
     roots = classes.groupBy("c").agg(F.min("least").alias("root"))

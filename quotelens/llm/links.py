@@ -179,14 +179,15 @@ def passes(blob: bytes, ids: np.ndarray) -> np.ndarray:
 
 # --- keys ----------------------------------------------------------------------------------------
 
-KEY_SCHEMA = "block int, key binary, doc binary, id binary, n binary, need binary"
+KEY_SCHEMA = "block int, key binary, doc binary, pos binary, id binary, n binary, need binary, rare binary"
 
 
 class KeyWriter:
     """Gathers (key, class) in a task and writes them by block of keys.
 
     Inside a block, a key is 32 bits of its hash and a class is a number in a small table, so a
-    posting takes 6 bytes. Two keys that meet in those bits only add candidates.
+    posting takes 8 bytes. Two keys that meet in those bits only add candidates. pos is a key's
+    place in the class's order of keys; rare (0 to 255) is the share of its set that is rare.
     """
 
     def __init__(self, blocks: int, most: int = 1_500_000):
@@ -194,20 +195,22 @@ class KeyWriter:
         self._clear()
 
     def _clear(self):
-        self.keys, self.docs, self.ids, self.ns, self.needs, self.size = [], [], [], [], [], 0
+        self.keys, self.docs, self.pos, self.ids, self.ns, self.needs, self.rare, self.size = [], [], [], [], [], [], [], 0
 
-    def add(self, sid: int, n: int, need: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, sid: int, n: int, need: int, rare: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         if self.size + len(keys) > self.most or len(self.ids) == 65_535:
             yield from self.flush()
         self.keys.append(keys)
         self.docs.append(np.full(len(keys), len(self.ids), np.uint16))
+        self.pos.append(np.minimum(np.arange(len(keys)), 65_535).astype(np.uint16))
         self.ids.append(sid)
         self.ns.append(n)
         self.needs.append(need)
+        self.rare.append(rare)
         self.size += len(keys)
 
     def add_many(self, ids: np.ndarray, ns: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Classes with a row of keys each and a need of 1."""
+        """Classes with a row of unordered keys each and a need of 1."""
         for a in range(0, len(ids), 30_000):
             s = slice(a, a + 30_000)
             part = keys[s]
@@ -215,61 +218,71 @@ class KeyWriter:
                 yield from self.flush()
             self.docs.append(np.repeat(np.arange(len(self.ids), len(self.ids) + len(part)), part.shape[1]).astype(np.uint16))
             self.keys.append(part.reshape(-1))
+            self.pos.append(np.zeros(part.size, np.uint16))
             self.ids += ids[s].tolist()
             self.ns += ns[s].tolist()
             self.needs += [1] * len(part)
+            self.rare += [0] * len(part)
             self.size += part.size
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.ids:
             return
-        keys, docs = np.concatenate(self.keys), np.concatenate(self.docs)
+        keys, docs, pos = np.concatenate(self.keys), np.concatenate(self.docs), np.concatenate(self.pos)
         block = ((keys >> U(40)) % U(self.blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
-        keys, docs, block = keys[order].astype(np.uint32), docs[order], block[order]
-        ids, ns, needs = np.array(self.ids, np.int64), np.array(self.ns, np.uint32), np.array(self.needs, np.uint8)
+        keys, docs, pos, block = keys[order].astype(np.uint32), docs[order], pos[order], block[order]
+        table = [np.array(x, t) for x, t in ((self.ids, np.int64), (self.ns, np.uint32), (self.needs, np.uint8), (self.rare, np.uint8))]
         cuts = np.flatnonzero(np.diff(block)) + 1
         rows = []
-        for k, d, b in zip(np.split(keys, cuts), np.split(docs, cuts), block[np.concatenate([[0], cuts]).astype(int)] if len(block) else []):
-            own, local = np.unique(d, return_inverse=True)
-            rows.append((int(b), k.tobytes(), local.astype(np.uint16).tobytes(), ids[own].tobytes(), ns[own].tobytes(), needs[own].tobytes()))
+        for lo, hi in zip(np.concatenate([[0], cuts]).tolist(), np.append(cuts, len(block)).tolist()):
+            if lo < hi:
+                own, local = np.unique(docs[lo:hi], return_inverse=True)
+                rows.append((int(block[lo]), keys[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), pos[lo:hi].tobytes(), *(x[own].tobytes() for x in table)))
         self._clear()
         for a in range(0, len(rows), 16):
             cols = list(zip(*rows[a : a + 16]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                names=["block", "key", "doc", "id", "n", "need"],
+                names=["block", "key", "doc", "pos", "id", "n", "need", "rare"],
             )
 
 
 def _shared(blobs: list[tuple], least: float) -> tuple[np.ndarray, ...] | None:
     """Postings of a block whose key has two classes or more, by key, size and class, and the
-    place of each one's leader: the first of the key that is large enough to match it."""
-    keys, ids, ns, needs = [], [], [], []
-    for key, doc, sid, n, need in blobs:
+    place of each one's leader.
+
+    The leader is the key's class with the smallest rare share (a copy with the fewest changes of
+    its own) if the sizes allow a match, else the key's first class that is large enough.
+    """
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for key, doc, pos, sid, n, need, rare in blobs:
         d = np.frombuffer(doc, np.uint16)
-        keys.append(np.frombuffer(key, np.uint32))
-        ids.append(np.frombuffer(sid, np.int64)[d])
-        ns.append(np.frombuffer(n, np.uint32)[d])
-        needs.append(np.frombuffer(need, np.uint8)[d])
-    keys, ids, ns, needs = map(np.concatenate, (keys, ids, ns, needs))
+        parts = (np.frombuffer(key, np.uint32), np.frombuffer(sid, np.int64)[d], np.frombuffer(n, np.uint32)[d], np.frombuffer(need, np.uint8)[d], np.frombuffer(pos, np.uint16), np.frombuffer(rare, np.uint8)[d])
+        for c, x in zip(cols, parts):
+            c.append(x)
+    keys, ids, ns, needs, pos, rare = map(np.concatenate, cols)
     order = np.lexsort((ids, ns, keys))
-    keys, ids, ns, needs = keys[order], ids[order], ns[order], needs[order]
-    fresh = np.ones(len(keys), bool)  # a class may come from several tasks
-    fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    keys, ids, ns, needs = keys[fresh], ids[fresh], ns[fresh], needs[fresh]
+    keys, ids, ns, needs, pos, rare = (x[order] for x in (keys, ids, ns, needs, pos, rare))
+    keep = np.ones(len(keys), bool)  # a class may come from several tasks
+    keep[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
     group = np.cumsum(np.diff(keys.astype(np.int64), prepend=-1) != 0) - 1
-    several = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
-    if not several.any():
+    keep &= np.bincount(group, weights=keep)[group] > 1
+    if not keep.any():
         return None
-    keys, ids, ns, needs, group = keys[several], ids[several], ns[several], needs[several], group[several]
+    keys, ids, ns, needs, pos, rare = (x[keep] for x in (keys, ids, ns, needs, pos, rare))
+    group = np.cumsum(np.diff(keys.astype(np.int64), prepend=-1) != 0) - 1
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    clean = np.lexsort((np.arange(len(keys)), rare, group))[first][group]
     place = (group.astype(np.int64) << 32) | ns.astype(np.int64)
     wanted = (group.astype(np.int64) << 32) | np.ceil(ns * least - 1e-9).astype(np.int64)
-    return keys, ids, ns, needs, np.searchsorted(place, wanted)
+    large_enough = np.searchsorted(place, wanted)
+    fits = np.minimum(ns, ns[clean]) >= np.maximum(ns, ns[clean]) * least - 1e-9
+    return keys, ids, ns, needs, pos, np.where(fits, clean, large_enough)
 
 
 def shared_keys(written: DataFrame, blocks: int, least: float) -> DataFrame:
-    """key, id, n, need, leader (null for a leader) of all postings whose key has several classes."""
+    """key, id, n, need, pos, leader (null for a leader) of all postings whose key has several classes."""
 
     def run(batches):
         blobs: dict[int, list[tuple]] = {}
@@ -281,23 +294,24 @@ def shared_keys(written: DataFrame, blocks: int, least: float) -> DataFrame:
             got = _shared(blobs.pop(block), least)
             if got is None:
                 continue
-            keys, ids, ns, needs, leader = got
+            keys, ids, ns, needs, pos, leader = got
             whole = (np.int64(block) << 32) | keys.astype(np.int64)
+            own = leader == np.arange(len(ids))
             for a in range(0, len(ids), 50_000):
                 s = slice(a, a + 50_000)
-                own = leader[s] == np.arange(len(ids))[s]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(whole[s], pa.int64()),
                         pa.array(ids[s], pa.int64()),
                         pa.array(ns[s].astype(np.int64), pa.int64()),
                         pa.array(needs[s].astype(np.int32), pa.int32()),
-                        pa.array(ids[leader[s]], pa.int64(), mask=own),
+                        pa.array(pos[s].astype(np.int32), pa.int32()),
+                        pa.array(ids[leader[s]], pa.int64(), mask=own[s]),
                     ],
-                    names=["key", "id", "n", "need", "leader"],
+                    names=["key", "id", "n", "need", "pos", "leader"],
                 )
 
-    return written.repartition(blocks, "block").mapInArrow(run, "key long, id long, n long, need int, leader long")
+    return written.repartition(blocks, "block").mapInArrow(run, "key long, id long, n long, need int, pos int, leader long")
 
 
 # --- tests and components --------------------------------------------------------------------------
@@ -313,6 +327,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def pack(s: np.ndarray) -> bytes:
+    """The low 40 bits of each hash, 5 bytes each, ascending. Two of a pair's shingles meet in these
+    bits by chance with a probability of about n * n / 2^40."""
+    low = np.sort(s & U((1 << 40) - 1))
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    x = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :5] = x
+    return out.reshape(-1).view("<u8")
+
+
 def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that pass the exact test."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("_a"))
@@ -322,7 +350,7 @@ def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [similar(np.frombuffer(x, U), np.frombuffer(y, U), percent) for x, y in zip(a, b)]
+            ok = [similar(unpack(x), unpack(y), percent) for x, y in zip(a, b)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -335,7 +363,9 @@ PAIRS, MEET = 200_000, 2_000
 def crossing_pairs(shared: DataFrame, labels: DataFrame, percent: int, blocks: int) -> DataFrame:
     """(a, b) of classes that share at least the smaller of their needs in keys and are in
     different components. A key with more than MEET classes is dealt out as pairs of parts."""
-    known = shared.select("key", "id", "n", "need").join(labels, "id", "left")
+    # what comes before a class's first shared key is shared with nobody, so at most `reach` is
+    reach = shared.groupBy("id").agg((F.max("n") - F.min("pos")).alias("reach"))
+    known = shared.select("key", "id", "n", "need").join(reach.join(labels, "id", "left"), "id")
     known = known.withColumn("c", F.coalesce("component", "id")).drop("component")
     sizes = known.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     open_keys = sizes.filter("c0 <> c1").select("key", F.ceil(F.col("m") / MEET).cast("int").alias("parts"))
@@ -343,16 +373,16 @@ def crossing_pairs(shared: DataFrame, labels: DataFrame, percent: int, blocks: i
     # part p meets part q in the cell (min, max); a key in one part has the one cell (0, 0)
     q = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("q", q).withColumn("cell", F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")))
-    rows = rows.select("cell", "id", "n", "need", "c", (F.col("p") < F.col("q")).cast("int").alias("side"), (F.col("p") == F.col("q")).alias("alone"))
+    rows = rows.select("cell", "id", "n", "need", "c", "reach", (F.col("p") < F.col("q")).cast("int").alias("side"), (F.col("p") == F.col("q")).alias("alone"))
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        cols = [t.column(i).to_numpy() for i in range(7)]
+        cols = [t.column(i).to_numpy() for i in range(8)]
         order = np.lexsort((cols[2], cols[0]))
-        cell, sid, n, need, c, side, alone = (x[order] for x in cols)
+        cell, sid, n, need, c, reach, side, alone = (x[order] for x in cols)
         n = n.astype(np.int64)
         first = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1 if len(cell) else 0) != 0)
         ends = np.append(first[1:], len(cell))
@@ -367,6 +397,8 @@ def crossing_pairs(shared: DataFrame, labels: DataFrame, percent: int, blocks: i
                     continue
                 j = np.arange(i + 1, top)
                 ok = (c[j] != c[i]) & (sid[j] != sid[i]) & (alone[j] | (side[j] != side[i]))
+                # the overlap that a link needs, against the most that either side can share
+                ok &= (n[j] + n[i]) * percent <= np.minimum(reach[j], reach[i]) * (100 + percent)
                 j = j[ok]
                 if len(j):
                     wait.append((np.minimum(sid[j], sid[i]), np.maximum(sid[j], sid[i]), np.minimum(need[j], need[i])))
@@ -395,21 +427,25 @@ def _counted(wait: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def linked(shared: DataFrame, sets: DataFrame, percent: int, blocks: int) -> DataFrame:
-    """id, component of the classes that links join: the two rounds of the module's account."""
+def linked(shared: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, blocks: int) -> DataFrame:
+    """id, component of the classes that links join: the two rounds of the module's account.
+
+    sets gives (id, set) of at least the classes of its one-column argument; each round scans for
+    the sets that it tests, which costs less than keeping all of them on disk.
+    """
     votes = shared.filter("leader is not null").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("k"))
-    best = votes.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
-    first = cut(tested(best, sets, percent))
+    best = cut(votes.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")))
+    first = cut(tested(best, sets(_ends(best)), percent))
     labels = cut(components(first))
-    rest = cut(tested(crossing_pairs(shared, labels, percent, blocks), sets, percent))
+    pairs = cut(crossing_pairs(shared, labels, percent, blocks))
+    rest = cut(tested(pairs, sets(_ends(pairs)), percent))
     out = cut(components(first.unionByName(rest)))
-    drop(first, labels, rest)
+    drop(best, first, labels, pairs, rest)
     return out
 
 
-def alive(shared: DataFrame) -> DataFrame:
-    """Classes with at least as many shared keys as they need: only these can have a link."""
-    return shared.groupBy("id").agg(F.count("*").alias("k"), F.min("need").alias("need")).filter("k >= need").select("id")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
 
 def map_sets(docs: DataFrame, column: str, make: Callable, schema: str, carry: list[str] = ()) -> DataFrame:
@@ -428,30 +464,28 @@ def map_sets(docs: DataFrame, column: str, make: Callable, schema: str, carry: l
     return source.mapInArrow(run, schema)
 
 
-def sets_of(docs: DataFrame, column: str, wanted: bytes, k: int = 5, split: Callable | None = None) -> DataFrame:
-    """id, set of the classes that pass the filter; split makes several texts of a value."""
+def sets_of(docs: DataFrame, column: str, wanted: bytes, k: int = 5) -> DataFrame:
+    """id, set (packed) of the classes that pass the filter, each once."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def make():
         blob, seen = shared.value, set()
 
         def each(values, _):
-            texts = values if split is None else [p for v in values for p in split(v)]
-            for a in range(0, len(texts), 2_000):
-                sets = [s for s in shingle_sets(texts[a : a + 2_000], k) if len(s)]
-                ids = np.array([set_id(s) for s in sets], np.int64)
-                ok = passes(blob, ids) if len(ids) else []
-                rows = []
-                for s, i, good in zip(sets, ids.tolist() if len(ids) else [], ok):
-                    if good and i not in seen:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(i)
-                        rows.append((i, s.tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "set"]
-                    )
+            sets = [s for s in shingle_sets(values, k) if len(s)]
+            ids = np.array([set_id(s) for s in sets], np.int64)
+            rows = []
+            for s, i, good in zip(sets, ids.tolist(), passes(blob, ids)):
+                if good and i not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(i)
+                    rows.append((i, pack(s)))
+            for a in range(0, len(rows), 2_000):
+                part = rows[a : a + 2_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], names=["id", "set"]
+                )
 
         return each, lambda: iter(())
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelens.llm import links
-from quotelens.llm.common import cut, drop, mix64
+from quotelens.llm.common import cut, mix64
 from quotelens.llm.links import U
 
 BANDS, ROWS = 6, 2
@@ -132,31 +132,47 @@ def band_keys(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, wanted: bytes) -> DataFrame:
-    """doc_id, number, start, n_words, id of paragraphs whose class passes the filter, and once a
-    task the class's set (null doc_id column `only` marks those rows)."""
+    """doc_id, number, start, n_words, id of paragraphs whose class passes the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def make():
-        blob, seen = shared.value, set()
+        blob = shared.value
 
         def each(values, carried):
             u = Units(values)
-            if not len(u.ids):
-                return
-            ok = np.flatnonzero(links.passes(blob, u.ids))
-            if not len(ok):
-                return
-            fresh = set(_new(u.ids[ok], seen).tolist())
-            sets = [u.set(i).tobytes() if k in fresh else None for k, i in enumerate(ok.tolist())]
-            doc = carried[0].cast(pa.int64()).take(pa.array(u.doc[ok]))
-            yield pa.RecordBatch.from_arrays(
-                [doc, *(pa.array(x[ok].astype(np.int64)) for x in (u.number, u.start, u.size, u.ids)), pa.array(sets, pa.binary())],
-                names=["doc_id", "number", "start", "n_words", "id", "set"],
-            )
+            ok = np.flatnonzero(links.passes(blob, u.ids)) if len(u.ids) else []
+            if len(ok):
+                doc = carried[0].cast(pa.int64()).take(pa.array(u.doc[ok]))
+                yield pa.RecordBatch.from_arrays(
+                    [doc, *(pa.array(x[ok].astype(np.int64)) for x in (u.number, u.start, u.size, u.ids))],
+                    names=["doc_id", "number", "start", "n_words", "id"],
+                )
+
+        return each, lambda: iter(())
+
+    return links.map_sets(docs, "text", make, "doc_id long, number long, start long, n_words long, id long", ["doc_id"])
+
+
+def sets_of(docs: DataFrame, wanted: bytes) -> DataFrame:
+    """id, set (packed) of the paragraph classes that pass the filter, each once."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def make():
+        blob, seen = shared.value, set()
+
+        def each(values, _):
+            u = Units(values)
+            ok = np.flatnonzero(links.passes(blob, u.ids)) if len(u.ids) else []
+            if len(ok):
+                at = ok[_new(u.ids[ok], seen)]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(u.ids[at]), pa.array([links.pack(u.set(i)) for i in at.tolist()], pa.binary())], names=["id", "set"]
+                    )
 
         return each, lambda: iter(())
 
-    return links.map_sets(docs, "text", make, "doc_id long, number long, start long, n_words long, id long, set binary", ["doc_id"])
+    return links.map_sets(docs, "text", make, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
 
 
 def repeated(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -172,13 +188,11 @@ def repeated(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     shared = cut(links.shared_keys(band_keys(docs, blocks), blocks, percent / 100))
-    # a class also repeats by occurring twice, which shows in no band; all classes that are
-    # shared or occur in two tasks or texts are kept by the counting filter below
-    wanted = links.id_filter(links.alive(shared).unionByName(_often(docs)), "id")
-    found = cut(occurrences(docs, wanted))
-    sets = found.filter("set is not null").groupBy("id").agg(F.first("set").alias("set"))
-    labels = links.linked(shared, sets, percent, blocks)
-    places = found.drop("set").dropDuplicates(["doc_id", "number"]).join(labels, "id", "left")
+    labels = links.linked(shared, lambda ids: sets_of(docs, links.id_filter(ids, "id")), percent, blocks)
+    # a class repeats by a link to another one, or by occurring twice itself
+    wanted = links.id_filter(labels.select("id").unionByName(_often(docs)), "id")
+    found = occurrences(docs, wanted)
+    places = found.dropDuplicates(["doc_id", "number"]).join(labels, "id", "left")
     places = places.withColumn("class_id", F.coalesce("component", "id")).drop("component", "id")
     groups = places.groupBy("class_id").agg(
         F.min(F.struct("doc_id", "number")).alias("_first"), F.max("doc_id").alias("_top")
