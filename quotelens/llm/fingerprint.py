@@ -15,15 +15,17 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotelens.llm.common import cut
+
 #: Words of an item; entries of a fingerprint; items of an entry.
 K, M, L = 2, 16, 2
 #: Bits for the position of an item: texts up to 16 million words keep exact order.
 POSITION_BITS = 24
-#: Buckets of consecutive ids that one window task sees.
-RUN = 4096
+#: Consecutive ids that one window frame holds.
+RUN = 256
 
 
 def constants(n: int) -> list[int]:
@@ -37,33 +39,36 @@ def constants(n: int) -> list[int]:
     return out
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and _next, the text of the next higher doc_id (of the lowest, after the highest).
+def following(runs: DataFrame) -> DataFrame:
+    """_run, _to: the next run that exists; the last one leads to the first. Two levels of windows,
+    so that a single task sees one row for RUN * RUN ids."""
+    runs = runs.select("_run").distinct().withColumn("_super", F.floor(F.col("_run") / RUN))
+    inner = runs.withColumn("_to", F.lead("_run").over(Window.partitionBy("_super").orderBy("_run")))
+    heads = runs.groupBy("_super").agg(F.min("_run").alias("_head"))
+    order = Window.orderBy("_super")
+    nexts = heads.select(
+        F.col("_super").alias("_s"), F.coalesce(F.lead("_head").over(order), F.first("_head").over(order)).alias("_jump")
+    )
+    return inner.join(nexts, F.col("_super") == F.col("_s")).select("_run", F.coalesce("_to", "_jump").alias("_to"))
 
-    Ids are dealt out by ranges; only the first row of each range crosses to the one before, so
-    no task sees more than a range. Rows with equal ids follow each other in the order of text.
-    """
-    from pyspark.sql import Window
 
-    from quotelens.llm.common import cut
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _run, _at, _next: the text of the next higher doc_id (of the lowest, after the highest).
 
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = base.withColumn("_run", F.floor(F.col("doc_id") / RUN))
-    near = Window.partitionBy("_run").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    inner = ranges.withColumn("_next", F.lead("text").over(near)).withColumn("_at", F.row_number().over(near))
-    inner = cut(inner)
-    heads = inner.filter("_at = 1").select("_run", F.col("text").alias("_head"))
-    order = Window.orderBy(F.col("_run").asc_nulls_first())  # one row for RUN ids
-    follows = heads.select("_run").withColumn(
-        "_to",
-        F.coalesce(F.lead("_run").over(order), F.first("_run").over(order)),
-    ).withColumn("_last", F.lead("_run").over(order).isNull())
-    nexts = follows.alias("f").join(heads.alias("h"), F.col("f._to").eqNullSafe(F.col("h._run"))).select(
-        F.col("f._run").alias("_r"), "_head"
+    Rows are dealt out by runs of RUN ids; the texts are shuffled once, and only the first text of
+    each run travels to the run before. Rows with equal ids follow each other in the order of text.
+    """
+    run = F.coalesce(F.floor(F.col("doc_id") / RUN), F.lit(-(1 << 56)))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), run.alias("_run"))
+    first = base.groupBy("_run").agg(F.min(F.struct("doc_id", "text")).alias("_h"))
+    heads = (
+        following(base.select("_run")).alias("f")
+        .join(first.alias("h"), F.col("f._to") == F.col("h._run"))
+        .select(F.col("f._run").alias("_r"), F.col("h._h.text").alias("_head"))
     )
-    lasts = inner.filter("_next is null").select("doc_id", "text", "_run", "_at")
-    filled = lasts.join(nexts, F.col("_run").eqNullSafe(F.col("_r"))).select("doc_id", "text", F.col("_head").alias("_next"), "_run", "_at")
-    return inner.filter("_next is not null").select("doc_id", "text", "_next", "_run", "_at").unionByName(filled)
+    near = Window.partitionBy("_run").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    rows = base.withColumn("_lead", F.lead("text").over(near)).withColumn("_at", F.row_number().over(near))
+    return rows.join(heads, F.col("_run") == F.col("_r")).select("doc_id", "text", "_run", "_at", F.coalesce("_lead", "_head").alias("_next"))
 
 
 def edited(text: Column, nxt: Column) -> Column:
@@ -90,11 +95,9 @@ def items(text: Column) -> Column:
 def fingerprints(texts: DataFrame, keys: list[str], column: str) -> DataFrame:
     """keys and fp, an array of M hashes; rows without words have no row here.
 
-    texts must have unique keys and should be partitioned by them: then numbering the occurrences
-    and taking the minima happen where the rows are, without a further shuffle.
+    texts must have unique keys and should be partitioned by some of them: then numbering the
+    occurrences and taking the minima happen where the rows are, without a further shuffle.
     """
-    from pyspark.sql import Window
-
     exploded = texts.select(*keys, F.posexplode(items(F.col(column))).alias("_p", "_h"))
     nth = F.row_number().over(Window.partitionBy(*keys, "_h").orderBy("_p"))
     numbered = exploded.select(*keys, "_p", F.xxhash64("_h", nth).alias("_x"))
@@ -141,24 +144,17 @@ def report(docs: DataFrame) -> DataFrame:
     itself. Repeated ids are documents of their own, next to each other. Null ids come first.
     Equal texts have equal fingerprints. Other columns are ignored.
     """
-    from quotelens.llm.common import cut
-
-    base = with_next(docs)
-    both = base.withColumn("_edited", edited(F.col("text"), F.col("_next")))
-    both = both.withColumn("_n", F.length("text").cast("long")).withColumn("_sha", F.sha2(F.col("_edited").cast("binary"), 256))
-    # a key that is unique also where ids repeat
-    sides = both.select(
-        "doc_id", "_run", "_at", "_n", "_sha", F.posexplode(F.array("text", "_edited")).alias("_side", "_text")
+    both = with_next(docs).withColumn("_edited", edited(F.col("text"), F.col("_next")))
+    facts = both.select(
+        "doc_id", "_run", "_at", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256")
     )
     keys = ["_run", "_at", "_side"]
-    plain = sides.select(F.coalesce("_run", F.lit(-(1 << 62))).alias("_run"), "_at", "_side", "_text")
-    fp = cut(fingerprints(plain.repartition(*keys), keys, "_text"))
-    own = fp.filter("_side = 0").select("_run", "_at", F.col("fp").alias("_f"))
-    changed = fp.filter("_side = 1").select("_run", "_at", F.col("fp").alias("_g"))
-    rows = both.select(
-        "doc_id", F.coalesce("_run", F.lit(-(1 << 62))).alias("_run"), "_at", F.col("_n").alias("n_chars"), F.col("_sha").alias("edited_sha256")
-    )
-    rows = rows.join(own, ["_run", "_at"], "left").join(changed, ["_run", "_at"], "left")
+    sides = both.select("_run", "_at", F.posexplode(F.array("text", "_edited")).alias("_side", "_text"))
+    fp = fingerprints(sides, keys, "_text")
+    pick = lambda k: F.first(F.when(F.col("_side") == k, F.col("fp")), ignorenulls=True)
+    two = fp.groupBy("_run", "_at").agg(pick(0).alias("_f"), pick(1).alias("_g"))
+    # everything above is dealt by _run, so this join moves nothing
+    rows = facts.join(two, ["_run", "_at"], "left")
     nxt = _next_fp(rows)
     return nxt.select(
         "doc_id",
@@ -173,17 +169,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def _next_fp(rows: DataFrame) -> DataFrame:
     """rows with _nf, the fingerprint of the next row; the first row of a run serves the run before."""
-    from pyspark.sql import Window
-
-    from quotelens.llm.common import cut
-
-    near = Window.partitionBy("_run").orderBy("_at")
-    rows = rows.withColumn("_lead", F.lead(F.struct("_f")).over(near))
     rows = cut(rows)
-    order = Window.orderBy("_run")
+    near = Window.partitionBy("_run").orderBy("_at")
     heads = rows.filter("_at = 1").select("_run", F.struct("_f").alias("_head"))
-    links = rows.filter("_at = 1").select("_run").withColumn("_to", F.coalesce(F.lead("_run").over(order), F.first("_run").over(order)))
-    nexts = links.alias("l").join(heads.alias("h"), F.col("l._to") == F.col("h._run")).select(F.col("l._run").alias("_r"), "_head")
-    inner = rows.filter("_lead is not null").withColumn("_nf", F.col("_lead._f")).drop("_lead")
-    last = rows.filter("_lead is null").join(nexts, F.col("_run") == F.col("_r")).withColumn("_nf", F.col("_head._f"))
-    return inner.unionByName(last.select(*inner.columns))
+    nexts = following(heads).alias("l").join(heads.alias("h"), F.col("l._to") == F.col("h._run")).select(F.col("l._run").alias("_r"), "_head")
+    led = rows.withColumn("_lead", F.lead(F.struct("_f")).over(near)).join(nexts, F.col("_run") == F.col("_r"))
+    return led.withColumn("_nf", F.coalesce("_lead", "_head")["_f"])
