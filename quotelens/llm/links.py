@@ -321,28 +321,37 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * |a and b| >= percent * |a or b|, for sorted distinct arrays."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    both = np.concatenate([a, b])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
+    common = common_of(a, b)
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+#: Bytes of a packed hash.
+WIDTH = 5
+
+
 def pack(s: np.ndarray) -> bytes:
     """The low 40 bits of each hash, 5 bytes each, ascending. Two of a pair's shingles meet in these
     bits by chance with a probability of about n * n / 2^40."""
     low = np.sort(s & U((1 << 40) - 1))
-    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    x = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    x = np.frombuffer(blob, np.uint8).reshape(-1, WIDTH)
     out = np.zeros((len(x), 8), np.uint8)
-    out[:, :5] = x
+    out[:, :WIDTH] = x
     return out.reshape(-1).view("<u8")
 
 
-def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that pass the exact test."""
+def common_of(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of sorted distinct arrays."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, common, linked: the size of the intersection, and whether the exact test passes."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
@@ -350,39 +359,54 @@ def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [similar(unpack(x), unpack(y), percent) for x, y in zip(a, b)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            n = np.array([len(x) // WIDTH + len(y) // WIDTH for x, y in zip(a, b)], np.int64)
+            common = np.array([common_of(unpack(x), unpack(y)) for x, y in zip(a, b)], np.int64)
+            ok = 100 * common >= percent * (n - common)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common), pa.array(ok)], names=["a", "b", "common", "linked"])
+
+    return both.mapInArrow(run, "a long, b long, common long, linked boolean")
+
 
-    return both.mapInArrow(run, "a long, b long")
+def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that pass the exact test."""
+    return compared(pairs, sets, percent).filter("linked").select("a", "b")
 
 
 #: Pairs that a task gives out at once, and members of a key that meet in one task.
 PAIRS, MEET = 200_000, 2_000
 
 
-def crossing_pairs(shared: DataFrame, labels: DataFrame, percent: int, blocks: int) -> DataFrame:
-    """(a, b) of classes that share at least the smaller of their needs in keys and are in
-    different components. A key with more than MEET classes is dealt out as pairs of parts."""
+def crossing_pairs(shared: DataFrame, labels: DataFrame, known_hubs: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """(a, b) of classes that share at least the smaller of their needs in keys, are in different
+    components and can be similar. A key with more than MEET classes is dealt out as pairs of parts.
+
+    known_hubs gives a class's hub (the leader it was tested against) and the size of their
+    intersection. What two classes x, y of one hub h share lies inside h or outside of it, so
+    |x & y| <= min(|x & h|, |y & h|) + min(|x - h|, |y - h|): an outsider that shares much with a
+    hub without being linked to it need not be tested against each member of the hub's group.
+    """
     # what comes before a class's first shared key is shared with nobody, so at most `reach` is
     reach = shared.groupBy("id").agg((F.max("n") - F.min("pos")).alias("reach"))
     known = shared.select("key", "id", "n", "need").join(reach.join(labels, "id", "left"), "id")
+    known = known.join(known_hubs, "id", "left")
     known = known.withColumn("c", F.coalesce("component", "id")).drop("component")
+    known = known.withColumn("hub", F.coalesce("hub", "id")).withColumn("common", F.coalesce("common", "n"))
     sizes = known.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     open_keys = sizes.filter("c0 <> c1").select("key", F.ceil(F.col("m") / MEET).cast("int").alias("parts"))
     rows = known.join(open_keys, "key").withColumn("p", F.pmod(F.xxhash64("c", "id"), F.col("parts")).cast("int"))
     # part p meets part q in the cell (min, max); a key in one part has the one cell (0, 0)
     q = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("q", q).withColumn("cell", F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")))
-    rows = rows.select("cell", "id", "n", "need", "c", "reach", (F.col("p") < F.col("q")).cast("int").alias("side"), (F.col("p") == F.col("q")).alias("alone"))
+    rows = rows.select("cell", "id", "n", "need", "c", "reach", "hub", "common", (F.col("p") < F.col("q")).cast("int").alias("side"), (F.col("p") == F.col("q")).alias("alone"))
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        cols = [t.column(i).to_numpy() for i in range(8)]
+        cols = [t.column(i).to_numpy() for i in range(10)]
         order = np.lexsort((cols[2], cols[0]))
-        cell, sid, n, need, c, reach, side, alone = (x[order] for x in cols)
+        cell, sid, n, need, c, reach, hub, common, side, alone = (x[order] for x in cols)
         n = n.astype(np.int64)
         first = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1 if len(cell) else 0) != 0)
         ends = np.append(first[1:], len(cell))
@@ -399,7 +423,11 @@ def crossing_pairs(shared: DataFrame, labels: DataFrame, percent: int, blocks: i
                 ok = (c[j] != c[i]) & (sid[j] != sid[i]) & (alone[j] | (side[j] != side[i]))
                 # the overlap that a link needs, against the most that either side can share
                 ok &= (n[j] + n[i]) * percent <= np.minimum(reach[j], reach[i]) * (100 + percent)
+                # a class and its hub have been tested
+                ok &= (hub[j] != sid[i]) & (sid[j] != hub[i])
                 j = j[ok]
+                most = np.minimum(common[j], common[i]) + np.minimum(n[j] - common[j], n[i] - common[i])
+                j = j[(hub[j] != hub[i]) | ((n[j] + n[i]) * percent <= most * (100 + percent))]
                 if len(j):
                     wait.append((np.minimum(sid[j], sid[i]), np.maximum(sid[j], sid[i]), np.minimum(need[j], need[i])))
                     held += len(j)
@@ -435,12 +463,14 @@ def linked(shared: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: i
     """
     votes = shared.filter("leader is not null").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("k"))
     best = cut(votes.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")))
-    first = cut(tested(best, sets(_ends(best)), percent))
+    tries = cut(compared(best, sets(_ends(best)), percent))
+    first = tries.filter("linked").select("a", "b")
     labels = cut(components(first))
-    pairs = cut(crossing_pairs(shared, labels, percent, blocks))
+    known_hubs = tries.select(F.col("a").alias("id"), F.col("b").alias("hub"), "common")
+    pairs = cut(crossing_pairs(shared, labels, known_hubs, percent, blocks))
     rest = cut(tested(pairs, sets(_ends(pairs)), percent))
     out = cut(components(first.unionByName(rest)))
-    drop(best, first, labels, pairs, rest)
+    drop(best, tries, labels, pairs, rest)
     return out
 
 
