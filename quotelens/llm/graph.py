@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from quotelens.llm.common import cut, drop
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Number of distinct edges and a 64-bit digest of them, without a shuffle of the edges."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """id, component (the least id that links reach) for every id in the edges.
 
@@ -19,6 +24,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    was = _digest(e)
     for _ in range(most):
         # large star: every larger neighbour of u goes to the least node around u
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,11 +36,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")
         )
         after = cut(small.select("x.u", "x.v").filter("u <> v").distinct())
-        moved = after.exceptAll(e).limit(1).count() + e.exceptAll(after).limit(1).count()
+        now = _digest(after)
         drop(e)
         e = after
-        if not moved:
+        if now == was:
             break
+        was = now
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
