@@ -8,10 +8,16 @@ probability 1 - (1 - 0.75^2)^6 = 0.993, equal paragraphs always. Paragraphs that
 verified by exact Jaccard similarity and joined to components; in each component the first
 occurrence stays and the others are removals. Runs of repeated paragraphs shorter than MIN_RUN
 words (a common line or phrase) are left alone.
+
+A passage that begins and ends inside paragraphs may hold no whole one. So all windows of MIN_RUN
+words are compared as well, by equality: what two documents share word for word over MIN_RUN words
+or more is reported to its exact ends, wherever it stands and however it is punctuated.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -178,7 +184,10 @@ def sets_of(docs: DataFrame, wanted: bytes) -> DataFrame:
 def repeated(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row for each repeated paragraph: doc_id, number, start, n_words, class_id, first_doc, removed.
 
-    number counts the document's paragraphs, start its words. class_id is the component of
+    number counts the document's paragraphs, start its words. Rows with a null number are words that
+    no reported paragraph has, but that stand word for word, in a run of MIN_RUN or more, in documents
+    of two different ids; their class_id names the first window and first_doc holds the first
+    occurrence of all windows that begin in the run. Of other rows, class_id is the component of
     similar paragraphs; first_doc holds its first occurrence (least doc_id, then number), which
     stays; all others are removed. A paragraph counts as repeated if its component occurs in
     documents of two different ids. Null, empty and blank texts have no paragraphs; rows with a
@@ -205,15 +214,157 @@ def repeated(docs: DataFrame, percent: int = 75) -> DataFrame:
     words = F.sum("n_words").over(Window.partitionBy("doc_id", "_run"))
     rows = rows.withColumn("_words", words).filter(F.col("_words") >= MIN_RUN)
     stays = (F.col("_first.doc_id") == F.col("doc_id")) & (F.col("_first.number") == F.col("number"))
-    return rows.select(
+    rows = rows.select(
         "doc_id", "number", "start", "n_words", "class_id", F.col("_first.doc_id").alias("first_doc"), (~stays).alias("removed")
     )
+    rows = cut(rows)
+    return rows.unionByName(_outside(shared_runs(docs, blocks), rows))
+
+
+def _outside(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The parts of the runs that no reported paragraph covers."""
+    taken = rows.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n_words")).alias("b")))).alias("_taken")
+    )
+    end = F.col("start") + F.col("n_words")
+    inside = F.filter(F.coalesce("_taken", F.array().cast("array<struct<a:long,b:long>>")), lambda t: (t["b"] > F.col("start")) & (t["a"] < end))
+    parts = F.arrays_zip(
+        F.concat(F.array("start"), F.transform("_in", lambda t: t["b"])).alias("a"), F.concat(F.transform("_in", lambda t: t["a"]), F.array(end)).alias("b")
+    )
+    left = runs.join(taken, "doc_id", "left").withColumn("_in", inside).withColumn("_part", F.explode(parts)).filter("_part.a < _part.b")
+    return left.select(
+        "doc_id", F.lit(None).cast("long").alias("number"), F.col("_part.a").alias("start"), (F.col("_part.b") - F.col("_part.a")).alias("n_words"), "class_id", "first_doc", "removed"
+    )
+
+
+def _windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, text, first word) of every window of MIN_RUN words."""
+    h, counts = links.word_hashes(texts)
+    n = np.maximum(counts - MIN_RUN + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), n)
+    pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    if not len(pos):
+        return np.zeros(0, np.int64), owner, pos
+    with np.errstate(over="ignore"):
+        g = np.zeros(len(h) - MIN_RUN + 1, U)
+        for i in range(MIN_RUN):
+            g = g * U(0xBF58476D1CE4E5B9) + h[i : len(h) - MIN_RUN + 1 + i]
+        g = mix64(g[(np.cumsum(counts) - counts)[owner] + pos])
+    return g.astype(np.int64), owner, pos
+
+
+_PLACE = np.dtype([("id", "<i8"), ("doc", "<i8"), ("pos", "<u4")])
+_FOUND = np.dtype([("id", "<i8"), ("doc", "<i8"), ("pos", "<u4"), ("first", "<i8"), ("stays", "u1")])
+_PACKED = "block int, rows binary"
+
+
+def _packed(rows: np.ndarray, by: str, blocks: int):
+    """Records as one blob a block of the field `by`."""
+    block = (mix64(rows[by].view(U) if rows[by].flags.c_contiguous else rows[by].copy().view(U)) >> U(40)) % U(blocks)
+    order = np.argsort(block, kind="stable")
+    rows, block = rows[order], block[order]
+    cuts = np.flatnonzero(np.diff(block)) + 1
+    heads = block[np.concatenate([[0], cuts]).astype(int)]
+    for a in range(0, len(heads), 16):
+        parts = np.split(rows, cuts)[a : a + 16]
+        yield pa.RecordBatch.from_arrays([pa.array(heads[a : a + 16].astype(np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["block", "rows"])
+
+
+def _unpacked(batches, kind) -> Iterator[np.ndarray]:
+    """The records of each block."""
+    blobs: dict[int, list[bytes]] = {}
+    for b in batches:
+        for k, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            blobs.setdefault(k, []).append(rows)
+    for k in sorted(blobs):
+        yield np.frombuffer(b"".join(blobs.pop(k)), kind)
+
+
+def shared_runs(docs: DataFrame, blocks: int) -> DataFrame:
+    """doc_id, start, n_words, class_id, first_doc, removed: runs of words all of whose windows of
+    MIN_RUN words stand in documents of two different ids. Windows meet by id, so no pair is formed.
+
+    A filter of the ids that occur twice lets most windows stay at home; the rest travel packed, to
+    the block of their id and then to the block of their document. A run ends where the first
+    occurrences move to another document, or where the run itself becomes the first occurrence.
+    """
+    blocks *= 4  # every word has a window: smaller blocks keep tasks small
+    wanted = links.id_filter(_often(docs, lambda texts: _windows(texts)[0], blocks), "id")
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def make():
+        blob, wait = shared.value, []
+
+        def pour():
+            if wait:
+                rows = np.concatenate(wait)
+                wait.clear()
+                yield from _packed(rows, "id", blocks)
+
+        def each(values, carried):
+            ids, owner, pos = _windows(values)
+            ok = np.flatnonzero(links.passes(blob, ids)) if len(ids) else []
+            if len(ok):
+                rows = np.empty(len(ok), _PLACE)
+                rows["id"], rows["pos"] = ids[ok], pos[ok]
+                rows["doc"] = carried[0].cast(pa.int64()).to_numpy(zero_copy_only=False)[owner[ok]]
+                wait.append(rows)
+                if sum(map(len, wait)) > 250_000:
+                    yield from pour()
 
+        return each, pour
 
-def _often(docs: DataFrame) -> DataFrame:
+    def meet(batches):
+        for rows in _unpacked(batches, _PLACE):
+            rows = rows[np.lexsort((rows["pos"], rows["doc"], rows["id"]))]
+            new = np.ones(len(rows), bool)
+            new[1:] = rows["id"][1:] != rows["id"][:-1]
+            head = np.flatnonzero(new)
+            last = np.append(head[1:], len(rows)) - 1
+            group = np.cumsum(new) - 1
+            ok = (rows["doc"][head] != rows["doc"][last])[group]
+            out = np.empty(ok.sum(), _FOUND)
+            for f in ("id", "doc", "pos"):
+                out[f] = rows[f][ok]
+            first = head[group][ok]
+            out["first"] = rows["doc"][first]
+            out["stays"] = (rows["doc"][first] == out["doc"]) & (rows["pos"][first] == out["pos"])
+            if len(out):
+                yield from _packed(out, "doc", blocks)
+
+    def join(batches):
+        for rows in _unpacked(batches, _FOUND):
+            rows = rows[np.lexsort((rows["pos"], rows["doc"]))]
+            twice = np.zeros(len(rows), bool)  # rows of one doc_id that come again
+            twice[1:] = (rows["doc"][1:] == rows["doc"][:-1]) & (rows["pos"][1:] == rows["pos"][:-1])
+            rows = rows[~twice]
+            doc, pos = rows["doc"], rows["pos"].astype(np.int64)
+            new = np.ones(len(rows), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
+            for f in ("first", "stays"):
+                new[1:] |= rows[f][1:] != rows[f][:-1]
+            head = np.flatnonzero(new)
+            end = pos[np.append(head[1:], len(rows)) - 1] + MIN_RUN
+            start = pos[head]
+            same = doc[head][1:] == doc[head][:-1]
+            start[1:] = np.where(same, np.maximum(start[1:], end[:-1]), start[1:])
+            for a in range(0, len(head), 50_000):
+                s = slice(a, a + 50_000)
+                h = head[s]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x.astype(np.int64)) for x in (doc[h], start[s], end[s] - start[s], rows["id"][h], rows["first"][h])), pa.array(rows["stays"][h] == 0)],
+                    names=["doc_id", "start", "n_words", "class_id", "first_doc", "removed"],
+                )
+
+    placed = links.map_sets(docs, "text", make, _PACKED, ["doc_id"])
+    met = placed.repartition(blocks, "block").mapInArrow(meet, _PACKED)
+    return met.repartition(blocks, "block").mapInArrow(join, "doc_id long, start long, n_words long, class_id long, first_doc long, removed boolean")
+
+
+def _often(docs: DataFrame, ids_of: Callable = lambda texts: Units(texts).ids, blocks: int = 0) -> DataFrame:
     """Classes that occur twice or more: exact copies. Ids travel as sorted 64-bit blocks, one copy
     for each document of a task, and meet by block."""
-    blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    blocks = blocks or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
 
     def make():
         wait: list[np.ndarray] = []
@@ -232,10 +383,10 @@ def _often(docs: DataFrame) -> DataFrame:
                 )
 
         def each(values, _):
-            u = Units(values)
-            if len(u.ids):
+            ids = ids_of(values)
+            if len(ids):
                 # at most two of an id: more tell nothing new
-                i, n = np.unique(u.ids, return_counts=True)
+                i, n = np.unique(ids, return_counts=True)
                 wait.append(np.repeat(i, np.minimum(n, 2)))
                 if sum(map(len, wait)) > 1_000_000:
                     yield from pour()

@@ -172,6 +172,32 @@ def test_repeated_passages(spark):
     assert paragraphs.repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_passages_inside_paragraphs(spark):
+    r = random.Random(5)
+    words = lambda n: [f"{r.choice('abcdefgh')}{r.randrange(10_000)}" for _ in range(n)]
+    rows, place = [], {}
+    for k in range(120):
+        n = r.choice([20, 51, 60, 80])
+        passage = words(n) if k % 2 else " ".join(sentence(r, 23) for _ in range(4)).split()[5 : 5 + n]
+        for i in (2 * k, 2 * k + 1):
+            a = r.randrange(7, 40)
+            rows.append((i, " ".join(words(a) + passage + words(r.randrange(7, 40)))))
+            place[i] = (a, len(passage))
+    rows += [(900, " ".join(["same"] * 300)), (901, " ".join(["same"] * 200)), (902, " ".join(words(300))), (902, None)]
+    got: dict = {}
+    for x in paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert x.removed == (x.doc_id != x.first_doc) or x.doc_id == 900
+        for at in range(x.start, x.start + x.n_words):
+            assert at not in got.setdefault(x.doc_id, set())
+            got[x.doc_id].add(at)
+        if x.number is None and x.doc_id in place:
+            a, n = place[x.doc_id]
+            assert a <= x.start and x.start + x.n_words <= a + n
+    for i, (a, n) in place.items():
+        assert got.get(i, set()) >= set(range(a, a + n)), (i, a, n)
+    assert got[900] == set(range(300)) and got[901] == set(range(200)) and 902 not in got
+
+
 def crc(i):
     return zlib.crc32(str(i).encode())
 
