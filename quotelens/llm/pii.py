@@ -23,6 +23,8 @@ from quotelens.llm.common import map_texts
 KINDS = ("email", "ip", "card", "phone")
 #: A further candidate becomes a span from this probability on.
 ACCEPT = 0.8
+#: Share of the classifier's training weight on votes as such.
+UNSEEN = 0.2
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -146,6 +148,9 @@ CONTEXT = {
 BEFORE = 32
 LABELERS = 5
 FEATURES = 10
+#: A spelt-out @ or dot; a number as it is written inside a country, with its 0 or as 3, 3 and 4 digits.
+_SPELT = re.compile(r"[(\[{](?:at|dot)[)\]}]| at .* dot ")
+_NATIONAL = re.compile(r"0[0-9]{1,4}(?:[\x20./-][0-9]{2,4}){2,4}|\(0[0-9]{1,4}\)(?:[\x20./-]?[0-9]{2,4}){2,4}|[2-9][0-9]{2}([\x20.-])[0-9]{3}\1[0-9]{4}|\([2-9][0-9]{2}\)\x20?[0-9]{3}[\x20.-][0-9]{4}")
 
 
 def _digits(s: str) -> str:
@@ -163,21 +168,25 @@ def votes_and_features(kind: str, text: str, start: int, end: int, is_base: bool
     votes = [2 if is_base else 0]
     if kind == "email":
         tld = re.split(r"[.\s)\]]", body)[-1].lower()
-        votes.append(2 if "@" in body else (0 if re.search(r"[(\[{]at", body) else 1))
+        votes.append(2 if "@" in body or _SPELT.search(body) else 0)
         votes.append(2 if tld in HOSTS else 1)
         strong = bool(MAILERS.search(body))
     elif kind == "ip":
         parts = body.split(".")
         dotted = len(parts) == 4 and all(p.isdigit() and int(p) <= 255 for p in parts)
         votes.append(2 if dotted or ":" in body else 1)
-        votes.append(1 if dotted and (parts[0] in ("0", "1", "2") or len(set(parts)) == 1) else (2 if dotted else 0))
+        if dotted:
+            votes.append(1 if parts[0] in ("0", "1", "2") or len(set(parts)) == 1 else 2)
+        else:  # the blocks of IPv6 that are given out, and local ones
+            votes.append(2 if re.match(r"(?i)[23][0-9a-f]{3}:|f[cd][0-9a-f]{2}:|fe80:", body) else 0)
         strong = dotted and all(p == str(int(p)) for p in parts)
     elif kind == "card":
         votes.append(2 if 13 <= len(digits) <= 19 and luhn(digits) else 1)
         votes.append(2 if digits[:1] in ("3", "4", "5", "6") else 1)
         strong = len(digits) in (15, 16)
     else:
-        votes.append(2 if body.startswith(("+", "00")) else (0 if "(" in body else 1))
+        # a national number has no +; its form says nothing against it
+        votes.append(2 if body.startswith(("+", "00")) or _NATIONAL.fullmatch(body) else 0)
         votes.append(2 if 10 <= len(digits) <= 13 else 1)
         strong = bool(re.search(r"\(\d{2,4}\)", body))
     votes.append(2 if CONTEXT[kind].search(before) else 0)
@@ -219,7 +228,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[Span, int, int, bool]]
     digit = _HAS_DIGIT.search(text) is not None
     for kind, pattern in WIDE.items():
         if kind == "email":
-            if not ("@" in text or "(at)" in text or "[at]" in text or "{at}" in text):
+            if not ("@" in text or "(at)" in text or "[at]" in text or "{at}" in text or (" at " in text and _SAID.search(text))):
                 continue
         elif not digit:
             continue
@@ -232,6 +241,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[Span, int, int, bool]]
     return out
 
 
+_SAID = re.compile(r" at [A-Za-z0-9-]+\s?(?:\.|\(dot\)|\[dot\]| dot )\s?[A-Za-z0-9-]{2}")
 _NUMBERY = re.compile(r"[0-9A-Fa-f+(][0-9A-Fa-f+().:/\x20-]{6,}[0-9A-Fa-f)]")
 
 
@@ -246,26 +256,54 @@ def _near_digits(pattern, text):
 
 
 class Model(NamedTuple):
-    """weights[kind, feature + bias] of the span classifier and reliability[kind, labeler, class, vote]."""
+    """weights[kind, feature + vote + bias] of the span classifier and reliability[kind, labeler, class, vote]."""
 
     weights: np.ndarray
     reliability: np.ndarray
     prior: np.ndarray
 
 
+#: Labelers whose votes the classifier sees: all but the strict pattern, which further candidates lack.
+SEEN = LABELERS - 1
+
+
+def _inputs(votes: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """What the classifier sees of each pattern: shape features, no and yes votes, bias."""
+    v = _votes(votes)[:, 1:]
+    shape = (features[:, None] >> np.arange(FEATURES)) & 1
+    return np.concatenate([shape, v == 1, v == 2, np.ones((len(v), 1))], axis=1).astype(float)
+
+
+def _every_vote() -> tuple[np.ndarray, np.ndarray]:
+    """All votes of the seen labelers, with no shape feature and with each one alone."""
+    n = 3**SEEN
+    votes = sum(((np.arange(n) // 3**j % 3) << (2 * (j + 1))) for j in range(SEEN))
+    shapes = np.array([0, *(1 << i for i in range(FEATURES))])
+    return np.repeat(votes, len(shapes)), np.tile(shapes, n)
+
+
 def _votes(bits: np.ndarray) -> np.ndarray:
     return np.stack([(bits >> (2 * i)) & 3 for i in range(LABELERS)], axis=1)
 
 
+def _posterior(prior: float, reliability: np.ndarray, v: np.ndarray) -> np.ndarray:
+    logit = np.log(prior / (1 - prior)) * np.ones(len(v))
+    for j in range(1, LABELERS):  # the strict pattern is not evidence against the others
+        logit += np.log(reliability[j, 1, v[:, j]] / reliability[j, 0, v[:, j]])
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
 def estimate(patterns: list[tuple[int, int, int, int]], rounds: int = 50) -> Model:
     """EM over (kind, votes, features, n), then logistic regression on its posteriors.
 
     The start takes each labeler's word: a class is likelier the more yes votes it has. Smoothing
     keeps labelers that never vote neutral. The strict pattern's yes is trusted throughout, which
-    fixes what the two classes mean.
+    fixes what the two classes mean. A share UNSEEN of the regression's weight lies on all
+    votes that labelers can give, at the posterior EM has for them, so that a form which the corpus
+    hardly has is judged by the labelers' reliabilities.
     """
     k = len(KINDS)
-    weights = np.zeros((k, FEATURES + 1))
+    weights = np.zeros((k, FEATURES + 2 * SEEN + 1))
     weights[:, -1] = -4.0
     reliability = np.full((k, LABELERS, 2, 3), 1 / 3)
     prior = np.full(k, 0.5)
@@ -275,7 +313,7 @@ def estimate(patterns: list[tuple[int, int, int, int]], rounds: int = 50) -> Mod
             continue
         v = _votes(np.array([p[1] for p in rows]))
         n = np.array([p[3] for p in rows], float)
-        x = np.array([[(p[2] >> i) & 1 for i in range(FEATURES)] + [1] for p in rows], float)
+        x = _inputs(np.array([p[1] for p in rows]), np.array([p[2] for p in rows]))
         q = 1 / (1 + np.exp(-((v == 2).sum(1) - 1.5 * (v == 1).sum(1))))
         sure = v[:, 0] == 2
         for _ in range(rounds):
@@ -289,31 +327,32 @@ def estimate(patterns: list[tuple[int, int, int, int]], rounds: int = 50) -> Mod
                     reliability[kind, j, 1, vote] = (n * q)[hit].sum() + pull
                     reliability[kind, j, 0, vote] = (n * (1 - q))[hit].sum() + push
                 reliability[kind, j] /= reliability[kind, j].sum(1, keepdims=True)
-            logit = np.log(prior[kind] / (1 - prior[kind])) * np.ones(len(rows))
-            for j in range(1, LABELERS):  # the strict pattern is not evidence against the others
-                logit += np.log(reliability[kind, j, 1, v[:, j]] / reliability[kind, j, 0, v[:, j]])
-            q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            q = _posterior(prior[kind], reliability[kind], v)
         q = np.where(sure, 0.999, q)
-        w, h = weights[kind], n / n.sum()
+        votes, shapes = _every_vote()
+        x = np.concatenate([x, _inputs(votes, shapes)])
+        q = np.concatenate([q, _posterior(prior[kind], reliability[kind], _votes(votes))])
+        h = np.concatenate([n / n.sum() * (1 - UNSEEN), np.full(len(votes), UNSEEN / len(votes))])
+        w = weights[kind]
         for _ in range(3000):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w -= 2.0 * (x.T @ (h * (p - q)) + 1e-4 * w)
+            w -= 0.5 * (x.T @ (h * (p - q)) + 1e-5 * w)
     return Model(weights, reliability, prior)
 
 
 def probability(model: Model, kind: str, votes: int, features: int) -> float:
-    """What the classifier says, held down by any labeler that votes no."""
-    k = KINDS.index(kind)
-    w = model.weights[k]
+    """What the classifier says."""
+    w = model.weights[KINDS.index(kind)]
     z = w[-1] + sum(w[i] for i in range(FEATURES) if features >> i & 1)
+    for j in range(SEEN):
+        vote = (votes >> (2 * (j + 1))) & 3
+        z += w[FEATURES + (vote - 1) * SEEN + j] if vote else 0.0
     return float(1 / (1 + np.exp(-z)))
 
 
 def accepted(model: Model, kind: str, votes: int, features: int) -> bool:
-    """A further candidate needs the classifier's word, a yes vote, and more yes than no votes."""
-    each = [(votes >> (2 * i)) & 3 for i in range(LABELERS)]
-    yes, no = each.count(2), each.count(1)
-    return yes >= 2 and no == 0 and probability(model, kind, votes, features) >= ACCEPT
+    """The classifier decides; the votes count through the posteriors that it learned from."""
+    return probability(model, kind, votes, features) >= ACCEPT
 
 
 def all_spans(text: str | None, model: Model) -> tuple[list[Span], list[Span]]:

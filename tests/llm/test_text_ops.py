@@ -135,3 +135,21 @@ def test_pii_end_to_end(spark):
     red = {r.doc_id: r.text for r in pii.redact(d, model).collect()}
     assert red[1] == "word [EMAIL] and [PHONE] end" and red[101] is None and red[103] == rows[-1][1]
     assert pii.find(d.limit(0), pii.fit(d.limit(0)), ["doc_id"]).count() == 0
+
+
+def test_pii_forms_beyond_the_patterns(spark):
+    rows = [(i, f"word mail{i}.x@mail{i % 9}.example.com and +1 (316) 555-{i:04d} from 10.2.{i}.7 end") for i in range(300)]
+    found = [
+        "Tel: [030 1234 5678] heute", "call [555-123-4567] now", "the number [555-123-4567] stands alone", "mail [jane.doe at host dot com] please",
+        "see [bob (at) host.org] there", "ask [bob [at] host [dot] net] there", "at [2001:db8:1:2:3:4:5:6] it runs",
+    ]
+    clean = ["on 2024-01-15 we met", "look at this. It is", "years 1990 2000 2010 2020", "ping 300.1.2.3 now", "sum 12 34 56 78"]
+    rows += [(1000 + i, t[: t.find("[")] + t[t.find("[") + 1 : t.rfind("]")] + t[t.rfind("]") + 1 :]) for i, t in enumerate(found)]
+    rows += [(2000 + i, t) for i, t in enumerate(clean)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    red = {r.doc_id: r.text for r in pii.redact(d, pii.fit(d)).collect()}
+    for i, t in enumerate(found):
+        kind = "[EMAIL]" if "host" in t else "[IP]" if ":db8:" in t else "[PHONE]"
+        assert red[1000 + i] == t[: t.find("[")] + kind + t[t.rfind("]") + 1 :]
+    for i, t in enumerate(clean):
+        assert red[2000 + i] == t
