@@ -24,7 +24,6 @@ RULES = (
     ("com/de/", "block"),
 )
 ORDERS = 5
-BUCKETS = 1 << 18
 STRENGTH = 2.0
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -54,7 +53,7 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def _grams(texts: list[str]):
-    """For the bytes of all texts: hashed contexts and hashed context+byte, an array per order; owner of each byte."""
+    """For the bytes of all texts: 64-bit names of contexts and of context+byte, an array per order; owner of each byte."""
     raws = [("\x02" + (t or "") + "\x03").encode() for t in texts]
     data = np.frombuffer(b"".join(raws), dtype=np.uint8).astype(np.uint64)
     sizes = np.array([len(r) for r in raws])
@@ -72,26 +71,24 @@ def _grams(texts: list[str]):
                 context = mix64(context * np.uint64(257) + back + np.uint64(k))
         with np.errstate(over="ignore"):
             gram = mix64(context + (data + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        out.append(((mix64(context + np.uint64(77 + k)) % np.uint64(BUCKETS)).astype(np.int64), (gram % np.uint64(BUCKETS)).astype(np.int64)))
+            out.append((mix64(context + np.uint64(77 + k)).astype(np.int64), gram.astype(np.int64)))
     return out, owner, sizes
 
 
 def _count_columns(texts, classes):
-    """Bucket counts of one batch: 0 and 1 are classes, each with a context and a gram table."""
+    """Names of one batch's contexts and grams, and how often each class has them."""
     grams, owner, _ = _grams(texts)
-    of = np.asarray(classes)[owner]
-    keys = []
-    for context, gram in grams:
-        keys.append(of * 2 * BUCKETS + context)
-        keys.append(of * 2 * BUCKETS + BUCKETS + gram)
-    return np.unique(np.concatenate(keys), return_counts=True)
+    of = np.tile(np.asarray(classes)[owner], 2 * len(grams))
+    names, at = np.unique(np.concatenate([x for pair in grams for x in pair]), return_inverse=True)
+    return names, np.bincount(at[of == 0], minlength=len(names)), np.bincount(at[of == 1], minlength=len(names))
 
 
 def train(urls: DataFrame) -> np.ndarray:
-    """Counts [class, table, bucket] over all rows of urls (url, says): allow is 0, block is 1.
+    """Sorted names of all contexts and grams in rows of urls (url, says), and their counts in
+    accepted and in rejected urls: three rows of integers.
 
-    Every url counts; the counts meet by bucket, so what reaches the driver has a fixed bound
-    (4 * BUCKETS numbers) whatever the number of urls.
+    Every url counts, and no two contexts or grams share a count. So what reaches the driver grows
+    with the distinct contexts and grams: 24 bytes each.
     """
     import pyarrow as pa
 
@@ -99,14 +96,22 @@ def train(urls: DataFrame) -> np.ndarray:
         for b in batches:
             if b.num_rows:
                 says = [0 if x == "allow" else 1 for x in b.column(1).to_pylist()]
-                k, n = _count_columns(b.column(0).to_pylist(), says)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["k", "n"])
+                columns = _count_columns(b.column(0).to_pylist(), says)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["k", "allow", "block"])
+
+    rows = urls.select("url", "says").mapInArrow(count, "k long, allow long, block long")
+    got = rows.groupBy("k").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).toArrow()
+    table = np.stack([got.column(c).to_numpy() for c in ("k", "allow", "block")]).astype(np.int64)
+    return table[:, np.argsort(table[0])]
 
-    sums = urls.select("url", "says").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()
-    flat = np.zeros(4 * BUCKETS, np.float32)
-    flat[got.column("k").to_numpy()] = got.column("n").to_numpy()
-    return flat.reshape(2, 2, BUCKETS)
+
+def _counts(model: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Counts of the named contexts or grams, a row for each class."""
+    if not model.shape[1]:
+        return np.zeros((2, len(names)))
+    own, back = np.unique(names, return_inverse=True)
+    at = np.minimum(np.searchsorted(model[0], own), model.shape[1] - 1)
+    return np.where(model[0][at] == own, model[1:, at], 0)[:, back].astype(float)
 
 
 def ratios(texts: list[str], model: np.ndarray) -> np.ndarray:
@@ -114,13 +119,11 @@ def ratios(texts: list[str], model: np.ndarray) -> np.ndarray:
     if not texts:
         return np.zeros(0)
     grams, owner, sizes = _grams(texts)
-    logs = []
-    for c in (0, 1):
-        p = np.full(len(owner), 1 / 257)
-        for context, gram in grams:
-            seen = model[c, 0][context]
-            p = (np.minimum(model[c, 1][gram], seen) + STRENGTH * p) / (seen + STRENGTH)
-        logs.append(np.log(p))
+    p = np.full((2, len(owner)), 1 / 257)
+    for context, gram in grams:
+        seen = _counts(model, context)
+        p = (_counts(model, gram) + STRENGTH * p) / (seen + STRENGTH)
+    logs = np.log(p)
     return np.bincount(owner, weights=logs[0] - logs[1], minlength=len(texts)) / sizes
 
 
@@ -130,7 +133,7 @@ _models: dict = {}
 def _model(key, shared):
     if key not in _models:
         _models.clear()
-        _models[key] = np.frombuffer(shared.value, np.float32).reshape(2, 2, BUCKETS)
+        _models[key] = np.frombuffer(shared.value, np.int64).reshape(3, -1)
     return _models[key]
 
 

@@ -1,9 +1,11 @@
 """Decontamination, URL rules, page extraction, personal data: against brute force and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quotelens.llm import decontaminate, html, pii, urls
@@ -77,6 +79,37 @@ def test_url_model_learns(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_url_counts_are_exact(spark):
+    r = random.Random(4)
+    rows = [("".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789/-") for _ in range(30)), "allow" if i % 3 else "block") for i in range(6000)]
+    seen: dict = {}
+    for url, says in rows:
+        for context, byte in grams_of(url):
+            for key in (context, (context, byte)):
+                seen[says, key] = seen.get((says, key), 0) + 1
+
+    def score(url):
+        logs, n = 0.0, 0
+        for says, sign in (("allow", 1), ("block", -1)):
+            p = 1 / 257
+            for k, (context, byte) in enumerate(grams_of(url)):
+                p = 1 / 257 if k % (urls.ORDERS + 1) == 0 else p
+                p = (seen.get((says, (context, byte)), 0) + urls.STRENGTH * p) / (seen.get((says, context), 0) + urls.STRENGTH)
+                if k % (urls.ORDERS + 1) == urls.ORDERS:
+                    logs += sign * math.log(p)
+                    n += says == "allow"
+        return logs / n
+
+    model = urls.train(spark.createDataFrame(rows, "url string, says string"))
+    texts = [u for u, _ in rows[:40]] + ["", "new/one", "abc"]
+    assert np.allclose(urls.ratios(texts, model), [score(u) for u in texts], atol=1e-9)
+
+
+def grams_of(url):
+    data = f"\x02{url}\x03"
+    return [((k, data[max(0, i - k) : i].rjust(k, "\0")), data[i]) for i in range(len(data)) for k in range(urls.ORDERS + 1)]
+
+
 def test_extract():
     page = (
         "<!doctype html><html><head><title>T</title><style>p{}</style></head><body><header>H</header><nav><a href=x>N</a></nav>"
