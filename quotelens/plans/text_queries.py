@@ -230,9 +230,8 @@ def lexical_meaning(spark, d):
 @query()
 def topic_search(spark, d):
     docs = table(spark, d, "documents")
-    b = tokens.with_words(table(spark, d, "benchmark"), "item_id")
-    qs = b.select("item_id", F.array_join(F.slice("w", 3, 6), " ").alias("text"))
-    return retrieval.topic_search(qs, docs, docs.count(), "item_id", "doc_id", 200, 10)
+    n = docs.count()
+    return retrieval.topic_search(table(spark, d, "benchmark"), docs, n, "item_id", "doc_id", max(1500, round(0.05 * n)), 10)
 
 
 @query(

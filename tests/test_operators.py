@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quotelens.operators import evaluate, families, intervals, ledger, seeds, tokens
+from quotelens.operators import evaluate, families, intervals, ledger, retrieval, seeds, tokens
 from quotelens.sources import ingest, sinks
 
 
@@ -97,3 +97,22 @@ def test_sinks(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([("=1", None)], "a string, b string"), str(tmp_path / "c"))
     text = "".join(p.read_bytes().decode() for p in (tmp_path / "c").glob("*.csv"))
     assert "\"'=1\"" in text and "\r\n" in text
+
+
+def test_topic_of_ordinary_words(spark):
+    docs = spark.createDataFrame([(i, f"river stone filler{i} harbour") for i in range(6)] + [(9, "violet comet")], "doc_id long, text string")
+    topics = spark.createDataFrame([(1, "river harbour"), (2, "river comet violet"), (3, "stone"), (4, "nothing here")], "item_id long, text string")
+    got = retrieval.topic_search(topics, docs, 7, "item_id", "doc_id", 3, 10).collect()
+    assert sorted((r.item_id, r.doc_id) for r in got) == [(1, i) for i in range(6)] + [(2, 9)] + [(3, i) for i in range(6)]
+
+
+def test_topic_search_takes_whole_items(spark, tmp_path):
+    from quotelens.plans.text_queries import topic_search
+
+    words = [f"word{chr(97 + i)}" for i in range(12)]
+    item = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = [(i, " ".join(words[9:])) for i in range(300)] + [(i, "other text here") for i in range(300, 700)]
+    item.write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = topic_search(spark, str(tmp_path)).collect()
+    assert len(got) == 10 and {r.hits for r in got} == {3}
