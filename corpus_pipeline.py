@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import decontaminate, jaccard, mixing, pii, toxicity
-from quotelens.llm.common import cut, table
+from quotelens.llm import decontaminate, jaccard, links, mixing, pii, toxicity
+from quotelens.llm.common import cut, map_texts, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +22,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near documents: that of the least doc_id. Rows with a null doc_id
-    stay; repeated rows become one."""
+    """One row of each group of near documents: of those with its least doc_id, the one of least
+    text. Rows with a null doc_id stay; repeated rows become one. Rows that share a doc_id but are
+    not near each other are told apart by their texts."""
     stays = (
-        jaccard.near_classes(docs)
-        .filter("doc_id is null or doc_id = component_id")
-        .select(F.col("doc_id").alias("_id"))
-        .filter("_id is not null")
+        jaccard.near_classes(docs, named_sets=True)
+        .filter("doc_id = component_id")
+        .select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_set"), F.col("linked_id").alias("_linked"))
         .distinct()
     )
-    kept = docs.join(stays, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    made = lambda: lambda texts: ([links.set_id(s) if len(s) else None for s in links.shingle_sets(texts)],)
+    rows = map_texts(docs.filter("doc_id is not null"), made, "_own long", docs.columns)
+    kept = rows.join(stays, (F.col("doc_id") == F.col("_id")) & F.col("_own").eqNullSafe(F.col("_set")))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = kept.groupBy("doc_id", "_linked").agg(F.min(F.struct("text", *others)).alias("_row"))
+    return least.select("doc_id", "_row.*").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

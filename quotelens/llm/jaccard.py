@@ -139,8 +139,9 @@ def write_prefixes(docs: DataFrame, sketch: bytes, total: int, k: int, percent:
     return links.map_sets(docs, "text", make, links.KEY_SCHEMA)
 
 
-def near_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id.
+def near_classes(docs: DataFrame, k: int = 5, percent: int = 75, named_sets: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id; with named_sets also set_id, the name of the
+    text's set, and linked_id, that of its linked sets (null for a text without words).
 
     Whole texts, A-Z lower-cased, words split at ASCII white space. component_id is the least
     doc_id that links reach, the document's own included. A text without words (null, empty or
@@ -161,13 +162,15 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     classes = firsts.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id"))
     roots = classes.groupBy("c").agg(F.min("least").alias("root"))
     # only classes with links need the second look; copies of one text have their least already
-    moved = classes.filter("component is not null").join(roots, "c").select(F.col("id").alias("_i"), "root")
-    named = firsts.join(moved, F.col("id") == F.col("_i"), "left").select(F.col("id").alias("_id"), F.coalesce("root", "least").alias("component"))
+    moved = classes.filter("component is not null").join(roots, "c").select(F.col("id").alias("_i"), "root", "c")
+    named = firsts.join(moved, F.col("id") == F.col("_i"), "left")
+    named = named.select(F.col("id").alias("_id"), F.coalesce("root", "least").alias("component"), F.coalesce("c", "id").alias("linked_id"))
     # a class of very many copies is one row here; the rows of docs that meet it can be split
     out = rows.join(named, F.col("id") == F.col("_id"), "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
+        *([F.col("id").alias("set_id"), "linked_id"] if named_sets else []),
     )
 

@@ -198,6 +198,24 @@ def test_passages_inside_paragraphs(spark):
     assert got[900] == set(range(300)) and got[901] == set(range(200)) and 902 not in got
 
 
+def test_pipeline_keeps_unlinked_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    a, b, c = (" ".join(f"w{r.randrange(10_000)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (5, b), (5, c), (5, c), (5, c + " more"), (6, a), (7, c), (7, b), (8, None), (8, None), (9, ""), (None, a), (None, a)]
+    d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_chars int")
+    got = corpus_pipeline.keep_one_of_each(spark, d, "")
+    assert got.columns == d.columns
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    want = [(1, a), (5, b), (5, c), (8, None), (9, ""), (None, a), (None, a)]
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=key) == sorted(want, key=key)
+    # a row whose text is kept under another id must not stand in for its id's own text
+    rows = [(3, b), (4, b), (4, c)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((x.doc_id, x.text) for x in corpus_pipeline.keep_one_of_each(spark, d, "").collect()) == [(3, b), (4, c)]
+
+
 def crc(i):
     return zlib.crc32(str(i).encode())
 
