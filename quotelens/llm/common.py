@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -32,24 +35,105 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Folders of the scopes that are open, the innermost last; the first takes what is cut outside of all.
+_open: list[list[tuple]] = [[]]
+
+
+def cut(df: DataFrame, stays: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, so that a lost
-    executor costs a read and not a recomputation."""
+    executor costs a read and not a recomputation. What drop() or a scope has not deleted by the
+    end of the driver's process is deleted then; with stays, the innermost scope leaves it alone."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path  # for drop()
+    if not any(_open):
+        atexit.register(_sweep)
+    _open[max(-len(_open), -2 if stays else -1)].append((df.sparkSession, path))
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete what cut() wrote, when nothing reads it any more."""
     for df in frames:
         path = getattr(df, "_cut_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(df.sparkSession, path)
+            for made in _open:
+                made[:] = [x for x in made if x[1] != path]
+
+
+def _sweep() -> None:
+    for spark, path in [x for made in _open for x in made]:
+        with contextlib.suppress(Exception):  # the session may have ended
+            _delete(spark, path)
+    _open[:] = [[]]
+
+
+@contextlib.contextmanager
+def scope():
+    """What is cut inside is deleted at the end: for steps whose result has been written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            _delete(spark, path)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again by later stages, and what their
+    allocators keep would count in all of them."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """run(), a function of Arrow batches, with give_back() after its last batch."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+#: Bytes and rows of an Arrow batch: whole texts travel in them, so rows alone are no bound.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless its own bounds are lower."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = str(spark.conf.get(key)).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -98,35 +182,38 @@ def map_texts(df: DataFrame, make, fields: str, keep: list[str], column: str = "
 
     make() is called once in each task and returns a function from a list of values to a list of
     lists, one for each of `fields` (a DDL string). The kept columns pass through as Arrow arrays,
-    so nulls and large integers stay as they are. Batches are cut to MAX_CHARS of text, so that
-    very long documents do not meet in one batch's Python objects.
+    so nulls and large integers stay as they are; a column that is kept and read travels once.
+    Batches are cut to MAX_CHARS of text, so that very long documents do not meet in one batch's
+    Python objects. The new fields must not be called like kept ones; fresh() finds names.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("_value"))
+    small_batches(df.sparkSession)
+    carried = keep if column in keep else [*keep, column]
+    source = df.select(*map(quoted, carried))
+    at_text, kept = carried.index(column), len(keep)
     new = StructType.fromDDL(fields)
-    schema = StructType([*source.schema.fields[:-1], *new.fields])
+    schema = StructType([*source.schema.fields[:kept], *new.fields])
     names = [f.name for f in schema.fields]
     kinds = [to_arrow_type(f.dataType) for f in schema.fields]
 
     def run(batches):
         f = make()
         for batch in batches:
-            values = batch.column(batch.num_columns - 1)
-            for at, n in _pieces(values, MAX_CHARS):
+            for at, n in _pieces(batch.column(at_text), MAX_CHARS):
                 part = batch.slice(at, n)
-                old = [part.column(i).cast(kinds[i]) for i in range(len(keep))]
-                made = f(part.column(batch.num_columns - 1).to_pylist())
-                arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, kinds[len(keep) :])]
+                old = [part.column(i).cast(kinds[i]) for i in range(kept)]
+                made = f(part.column(at_text).to_pylist())
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, kinds[kept:])]
                 yield pa.RecordBatch.from_arrays(old + arrays, names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
-#: Characters of text that Python handles at once, unless one text alone has more.
-MAX_CHARS = 4_000_000
+#: Bytes of text that Python handles at once, unless one text alone has more.
+MAX_CHARS = 1_000_000
 
 
 def _pieces(values, most: int):

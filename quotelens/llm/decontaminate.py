@@ -17,8 +17,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm.common import lower_az, map_texts
+from quotelens.llm.common import fresh, lower_az, map_texts, quoted
 
+#: Words of a benchmark that may be broadcast, about 600 MB of text.
+BIGGEST = 100_000_000
 #: A-Z is already lower-cased when this applies.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -118,6 +120,8 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
     """The benchmark in blocks of about block_words words, dealt by a hash of the item."""
     clean = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     total = clean.agg(F.sum(F.length("text"))).first()[0] or 0
+    if total > BIGGEST * 6:
+        raise ValueError("the benchmark is too large to broadcast: search for it in parts, one after another")
     n = max(1, -(-int(total) // (block_words * 5)))
     return [clean.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
 
@@ -135,21 +139,26 @@ def _matcher(key, shared, width):
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 500_000, keep: list[str] | None = None
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 500_000, keep: list[str] | None = None,
+    names: tuple[str, str, str] = ("hit_spans", "items", "n_words"),
 ) -> DataFrame:
-    """The columns `keep` of docs (all by default) with hit_spans, items and n_words.
+    """The columns `keep` of docs (all by default) with hit_spans, items and n_words, or what `names` calls them.
 
     hit_spans holds the disjoint ranges of words that windows cover, items the sorted item ids.
     Whole texts are searched. Null and empty texts have no words and no hits; null items or item
     texts are no patterns; an empty benchmark hits nothing. Repeated rows are judged one by one.
     The benchmark is a query set: only blocks of a bounded size are broadcast, and each further
-    block adds one pass over the rows in the same stage, without a shuffle.
+    block adds one pass over the rows in the same stage, without a shuffle. All blocks of a benchmark
+    are broadcast by the time the rows are read, so its size is the bound: BIGGEST words.
     A column of docs that is called like an output column gives way to it.
     """
     spark: SparkSession = docs.sparkSession
-    keep = [c for c in (keep or docs.columns) if c.lower() not in ("hit_spans", "items", "n_words", "_value", "_old")]
-    fields = "hit_spans array<array<long>>, items array<long>, n_words long"
-    out, blocks = docs, benchmark_blocks(benchmark, block_words)
+    keep = [c for c in (keep or docs.columns) if c.lower() not in names]
+    spans, items, n_words = names
+    old = fresh(docs, "_spans"), fresh(docs, "_items")
+    fields = f"`{spans}` array<array<long>>, `{items}` array<long>, `{n_words}` long"
+    blocks = benchmark_blocks(benchmark, block_words)
+    out = docs
     for k, block in enumerate(blocks):
         shared = spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in block.collect()))
         key, more = uuid.uuid4().hex, k < len(blocks) - 1
@@ -158,26 +167,33 @@ def find_leaks(
             matcher = _matcher(key, shared, width)
 
             def search(texts):
-                spans, items, counts = [], [], []
+                found_spans, found_items, counts = [], [], []
                 for text in texts:
                     w = words(text)
                     s, f = matcher.find(w)
-                    spans.append(merged(s))
-                    items.append(sorted(f))
+                    found_spans.append(merged(s))
+                    found_items.append(sorted(f))
                     counts.append(len(w))
-                return spans, items, counts
+                return found_spans, found_items, counts
 
             return search
 
         carried = list(dict.fromkeys([*keep, "text"])) if more else keep
         if k:  # what the blocks before have found is carried along
-            out = out.withColumnsRenamed({"hit_spans": "_s", "items": "_i"}).drop("n_words")
-            out = map_texts(out, make, fields, [*carried, "_s", "_i"])
-            out = out.withColumn("items", F.array_sort(F.array_union("items", "_i")))
-            out = out.withColumn("hit_spans", _merge_spans(F.concat("hit_spans", "_s"))).drop("_s", "_i")
+            out = out.withColumnsRenamed({spans: old[0], items: old[1]}).drop(n_words)
+            out = map_texts(out, make, fields, [*carried, *old])
+            out = out.withColumn(items, F.array_sort(F.array_union(quoted(items), old[1])))
+            out = out.withColumn(spans, _merge_spans(F.concat(quoted(spans), old[0]))).drop(*old)
         else:
             out = map_texts(out, make, fields, carried)
-    return out.select(*keep, "hit_spans", "items", "n_words")
+    return out.select(*map(quoted, keep), *map(quoted, names))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 500_000) -> DataFrame:
+    """docs without the rows in which a window of the benchmark occurs, with all columns they had."""
+    names = tuple(fresh(docs, c) for c in ("hit_spans", "items", "n_words"))
+    found = find_leaks(docs, benchmark, width, block_words, names=names)
+    return found.filter(F.size(quoted(names[1])) == 0).select(*map(quoted, docs.columns))
 
 
 def _merge_spans(spans):

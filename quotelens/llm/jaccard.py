@@ -15,9 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from quotelens.llm import links
-from quotelens.llm.common import cut, drop, mix64
+from quotelens.llm.common import cut, drop, fresh, map_texts, mix64, quoted
 from quotelens.llm.links import U
 
 #: Counters of the sketch (a fixed number), and the longest extension of a prefix.
@@ -27,12 +29,15 @@ MOST_NEED = 4
 POSTING, TEST = 1.0, 40.0
 
 
-def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, bytes]:
-    """(row table with doc_id, n, id; sketch): one scan gives both, so the texts are read once.
+def first_pass(docs: DataFrame, k: int, carry: list[str] = ("doc_id",)) -> tuple[DataFrame, bytes]:
+    """(row table with the columns `carry`, n, id; sketch): one scan gives both, so the texts are read once.
 
     The sketch has a count class (8 log2 of the count + 1) for each counter, over one copy of a
     text per task. A row table row is a row of docs; id is null where there are no words.
     """
+    schema = StructType([StructField(c, docs.schema[c].dataType) for c in carry])
+    schema = schema.add("n", "long").add("id", "long").add("slice", "integer").add("blob", "binary")
+    names, kinds = schema.names, [to_arrow_type(docs.schema[c].dataType) for c in carry]
 
     def make():
         counts = np.zeros(COUNTERS, np.uint32)
@@ -50,29 +55,30 @@ def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, bytes]:
             ids = [links.set_id(s) if len(s) else None for s in sets]
             for s, i in zip(sets, ids):
                 if i is not None and i not in seen:
-                    if len(seen) > 500_000:
+                    if len(seen) > links.SEEN:
                         seen.clear()
                     seen.add(i)
                     wait.append(s)
             if sum(map(len, wait)) > 2_000_000:
                 pour()
             none = pa.nulls(len(values), pa.int32())
+            own = [x.cast(t) for x, t in zip(carried, kinds)]
             yield pa.RecordBatch.from_arrays(
-                [carried[0].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), none, pa.nulls(len(values), pa.binary())],
-                names=["doc_id", "n", "id", "slice", "blob"],
+                [*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), none, pa.nulls(len(values), pa.binary())],
+                names=names,
             )
 
         def last():
             pour()
             if counts.any():
                 d = links.dense_rows(counts)
-                nothing = pa.nulls(d.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, d.column(0), d.column(1)], names=["doc_id", "n", "id", "slice", "blob"])
+                nothing = [pa.nulls(d.num_rows, t) for t in (*kinds, pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*nothing, d.column(0), d.column(1)], names=names)
 
         return each, last
 
-    both = cut(links.map_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "text", make, "doc_id long, n long, id long, slice int, blob binary", ["doc_id"]))
-    rows = both.filter("slice is null").select("doc_id", "n", "id")
+    both = cut(links.map_sets(docs, "text", make, schema, list(carry)))
+    rows = both.filter("slice is null").select(*carry, "n", "id")
     classes = lambda x: np.minimum(255, np.round(8 * np.log2(x.astype(np.float64) + 1))).astype(np.uint8)
     sketch = links.merged_dense(both.filter("slice is not null").select("slice", "blob"), np.uint32, np.add, classes)
     rows._cut_path = both._cut_path
@@ -127,7 +133,7 @@ def write_prefixes(docs: DataFrame, sketch: bytes, total: int, k: int, percent:
                 i = links.set_id(s)
                 if i in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > links.SEEN:
                     seen.clear()
                 seen.add(i)
                 keys, need = prefix(s, levels, df, float(max(total, 1)), percent)
@@ -139,38 +145,65 @@ def write_prefixes(docs: DataFrame, sketch: bytes, total: int, k: int, percent:
     return links.map_sets(docs, "text", make, links.KEY_SCHEMA)
 
 
-def near_classes(docs: DataFrame, k: int = 5, percent: int = 75, named_sets: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id; with named_sets also set_id, the name of the
-    text's set, and linked_id, that of its linked sets (null for a text without words).
+def linked_sets(docs: DataFrame, k: int = 5, percent: int = 75, carry: list[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """(rows, labels): per row of docs the columns `carry`, n (size of its set) and id (its set's name, null
+    for an empty one); and id, component of the sets that links join."""
+    spark = docs.sparkSession
+    rows, sketch = first_pass(docs, k, carry)
+    total = rows.filter("id is not null").agg(F.approx_count_distinct("id")).first()[0]
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    written = write_prefixes(docs, sketch, total, k, percent, blocks)
+    shared = cut(links.shared_keys(written, blocks, percent / 100))
+    labels = links.linked(shared, lambda ids: links.sets_of(docs, "text", links.id_filter(ids, "id"), k), percent, blocks, True)
+    drop(shared)
+    return rows, labels
+
+
+def near_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id.
 
     Whole texts, A-Z lower-cased, words split at ASCII white space. component_id is the least
     doc_id that links reach, the document's own included. A text without words (null, empty or
     blank) has an empty set, no links, and its own doc_id as component. Repeated rows and texts
     with equal sets are linked with each other (equal sets are known by a 64-bit hash of the
     sorted set); rows with a null doc_id take the component of their class, or null. An empty
-    table gives no rows. Other columns are ignored.
+    table gives no rows. Other columns are ignored, whatever they are called.
     """
-    spark = docs.sparkSession
-    rows, sketch = first_pass(docs, k)
-    total = rows.filter("id is not null").agg(F.approx_count_distinct("id")).first()[0]
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    written = write_prefixes(docs, sketch, total, k, percent, blocks)
-    shared = cut(links.shared_keys(written, blocks, percent / 100))
-    labels = links.linked(shared, lambda ids: links.sets_of(docs, "text", links.id_filter(ids, "id"), k), percent, blocks)
-    drop(shared)
+    rows, labels = linked_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent)
     firsts = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
     classes = firsts.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id"))
     roots = classes.groupBy("c").agg(F.min("least").alias("root"))
     # only classes with links need the second look; copies of one text have their least already
-    moved = classes.filter("component is not null").join(roots, "c").select(F.col("id").alias("_i"), "root", "c")
+    moved = classes.filter("component is not null").join(roots, "c").select(F.col("id").alias("_i"), "root")
     named = firsts.join(moved, F.col("id") == F.col("_i"), "left")
-    named = named.select(F.col("id").alias("_id"), F.coalesce("root", "least").alias("component"), F.coalesce("c", "id").alias("linked_id"))
+    named = named.select(F.col("id").alias("_id"), F.coalesce("root", "least").alias("component"))
     # a class of very many copies is one row here; the rows of docs that meet it can be split
     out = rows.join(named, F.col("id") == F.col("_id"), "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"),
-        *([F.col("id").alias("set_id"), "linked_id"] if named_sets else []),
-    )
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """docs with one row of each group of linked rows: of those with the least doc_id, the one of the
+    shortest text, then of the least (by 64 characters, and a hash of the row).
+
+    Rows with a null doc_id all stay. Rows whose text has no words are linked with nothing but rows equal
+    to them. Repeated rows are one group. Rows that share a doc_id but are not linked are told apart by their
+    texts. All columns stay, whatever they are called. An empty table gives no rows.
+
+    Which row stays is found over narrow columns, with partial minima before each shuffle; then the
+    texts are dealt once, by set and row, so a group of very many copies is spread over all tasks.
+    """
+    own, row, size, head = (fresh(docs, c) for c in ("_own", "_row", "_size", "_head"))
+    hashable = [quoted(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    marked = docs.withColumn(row, F.xxhash64(*hashable)).withColumn(size, F.length("text")).withColumn(head, F.substring("text", 1, 64))
+    keyed = marked.filter("doc_id is not null")
+    rows, labels = linked_sets(keyed.select("doc_id", size, head, row, "text"), k, percent, ["doc_id", size, head, row])
+    best = lambda by, x: x.groupBy(by).agg(F.min("_key").alias("_key"))
+    keys = rows.filter("id is not null").select("id", F.struct("doc_id", size, head, row, F.col("id").alias("_set")).alias("_key"))
+    groups = best("id", keys).join(labels, "id", "left").select(F.coalesce("component", "id").alias("_group"), "_key")
+    stays = best("_group", groups).select(F.col("_key._set").alias("_set"), F.col(f"_key.{row}").alias("_stays"))
+    made = lambda: lambda texts: ([links.set_id(s) if len(s) else None for s in links.shingle_sets(texts, k)],)
+    named = map_texts(keyed, made, f"`{own}` long", [*docs.columns, row])
+    kept = named.join(stays, (F.col(own) == F.col("_set")) & (F.col(row) == F.col("_stays")), "left_semi").dropDuplicates([own, row])
+    empty = named.filter(F.col(own).isNull()).dropDuplicates(["doc_id", row])
+    return kept.select(*map(quoted, docs.columns)).unionByName(empty.select(*map(quoted, docs.columns))).unionByName(docs.filter("doc_id is null"))

@@ -6,8 +6,12 @@ classes that share enough keys are candidates. This module finds the shared keys
 that an exact test confirms, and joins links to components, in two rounds:
 
 1. In every key, each class is tried against the key's leader only; its best leader is tested.
-   That already joins the bulk of a group of copies by about one test a member.
-2. All pairs of a key that are still in different components become candidates and are tested.
+   That already joins the bulk of a group of copies by about one test a member. The leader a
+   class was tested against is its hub.
+2. Pairs that are still in different components become candidates if they share enough keys. Pairs
+   around one hub's component meet in one place with all their keys, so that what they share is
+   counted there and only pairs that can reach the similarity leave it; the few pairs of
+   different hubs meet by key.
 
 So a group of thousands of near copies never becomes all its pairs, and no link between
 different components is lost.
@@ -23,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.llm.common import _pieces, cut, drop, mix64
+from quotelens.llm.common import _pieces, cut, drop, mix64, small_batches, tidy
 from quotelens.llm.graph import components
 
 U = np.uint64
+#: Ids that a task remembers, so as not to write a copy again.
+SEEN = 200_000
 #: Characters of text that are shingled at once.
-CHARS = 1_500_000
+CHARS = 750_000
 _TABLE = mix64(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 _B = 0xD1342543DE82EF95
 _B_INV = pow(_B, -1, 1 << 64)
@@ -136,7 +142,7 @@ def merged_dense(rows: DataFrame, dtype, op, last=lambda x: x) -> bytes:
                 names=["slice", "blob"],
             )
 
-    out = rows.repartition(SLICES // 4, "slice").mapInArrow(run, "slice int, blob binary").collect()
+    out = rows.repartition(SLICES // 4, "slice").mapInArrow(tidy(run), "slice int, blob binary").collect()
     parts = dict((r.slice, r.blob) for r in out)
     return b"".join(parts[k] for k in sorted(parts))
 
@@ -153,18 +159,43 @@ def _bits(ids: np.ndarray) -> list[np.ndarray]:
 
 def id_filter(ids: DataFrame, column: str) -> bytes:
     """A Bloom filter of a fixed size over all ids. It only saves work: what passes wrongly falls
-    out of the join that follows, however full the filter is."""
+    out of the join that follows, however full the filter is. Tasks send the places of their bits, slice
+    by slice, and each slice is put together in one place."""
+    wide = FILTER_BITS // SLICES
 
-    def run(batches):
-        x = np.zeros(FILTER_BITS, bool)
+    def places(batches):
+        few: list[np.ndarray] = []
+        dense = None
+        for b in batches:
+            few += _bits(b.column(0).to_numpy(zero_copy_only=False))
+            if sum(map(len, few)) > 1_000_000:
+                dense = np.zeros(FILTER_BITS, bool) if dense is None else dense
+                dense[np.concatenate(few)] = True
+                few = []
+        at = np.unique(np.concatenate(few)) if few else np.zeros(0, np.int64)
+        if dense is not None:
+            dense[at] = True
+            at = np.flatnonzero(dense)
+        edges = np.searchsorted(at, np.arange(SLICES + 1) * wide).tolist()
+        for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+            if lo < hi:
+                blob = (at[lo:hi] - k * wide).astype(np.uint32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["slice", "blob"])
+
+    def merge(batches):
+        got: dict[int, np.ndarray] = {}
         for b in batches:
-            v = b.column(0).to_numpy(zero_copy_only=False)
-            for i in _bits(v):
-                x[i] = True
-        yield dense_rows(np.packbits(x))
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k not in got:
+                    got[k] = np.zeros(wide, bool)
+                got[k][np.frombuffer(blob, np.uint32)] = True
+        for k, x in got.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], names=["slice", "blob"])
 
-    rows = ids.select(column).coalesce(16).mapInArrow(run, "slice int, blob binary")
-    return merged_dense(rows, np.uint8, np.bitwise_or)
+    sent = ids.select(column).mapInArrow(tidy(places), "slice int, blob binary")
+    out = sent.repartition(SLICES // 4, "slice").mapInArrow(tidy(merge), "slice int, blob binary").collect()
+    parts = {r.slice: r.blob for r in out}
+    return b"".join(parts.get(k, bytes(wide // 8)) for k in range(SLICES)) if parts else b""
 
 
 def passes(blob: bytes, ids: np.ndarray) -> np.ndarray:
@@ -179,7 +210,8 @@ def passes(blob: bytes, ids: np.ndarray) -> np.ndarray:
 
 # --- keys ----------------------------------------------------------------------------------------
 
-KEY_SCHEMA = "block int, key binary, doc binary, pos binary, id binary, n binary, need binary, rare binary"
+KEY_SCHEMA = "block int, key binary, doc binary, pos binary, id binary, n binary, need binary, rare binary, sig binary"
+_KEY_NAMES = ["block", "key", "doc", "pos", "id", "n", "need", "rare", "sig"]
 
 
 class KeyWriter:
@@ -187,15 +219,16 @@ class KeyWriter:
 
     Inside a block, a key is 32 bits of its hash and a class is a number in a small table, so a
     posting takes 8 bytes. Two keys that meet in those bits only add candidates. pos is a key's
-    place in the class's order of keys; rare (0 to 255) is the share of its set that is rare.
+    place in the class's order of keys; rare (0 to 255) is the share of its set that is rare; sig, for
+    classes of small sets, has the bits of signature().
     """
 
-    def __init__(self, blocks: int, most: int = 1_500_000):
+    def __init__(self, blocks: int, most: int = 600_000):
         self.blocks, self.most = blocks, most
         self._clear()
 
     def _clear(self):
-        self.keys, self.docs, self.pos, self.ids, self.ns, self.needs, self.rare, self.size = [], [], [], [], [], [], [], 0
+        self.keys, self.docs, self.pos, self.ids, self.ns, self.needs, self.rare, self.sig, self.size = [], [], [], [], [], [], [], [], 0
 
     def add(self, sid: int, n: int, need: int, rare: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         if self.size + len(keys) > self.most or len(self.ids) == 65_535:
@@ -209,8 +242,8 @@ class KeyWriter:
         self.rare.append(rare)
         self.size += len(keys)
 
-    def add_many(self, ids: np.ndarray, ns: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Classes with a row of unordered keys each and a need of 1."""
+    def add_many(self, ids: np.ndarray, ns: np.ndarray, keys: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Classes with a row of unordered keys each, a need of 1 and a signature."""
         for a in range(0, len(ids), 30_000):
             s = slice(a, a + 30_000)
             part = keys[s]
@@ -223,6 +256,7 @@ class KeyWriter:
             self.ns += ns[s].tolist()
             self.needs += [1] * len(part)
             self.rare += [0] * len(part)
+            self.sig += sig[s].tolist()
             self.size += part.size
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -232,19 +266,19 @@ class KeyWriter:
         block = ((keys >> U(40)) % U(self.blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         keys, docs, pos, block = keys[order].astype(np.uint32), docs[order], pos[order], block[order]
-        table = [np.array(x, t) for x, t in ((self.ids, np.int64), (self.ns, np.uint32), (self.needs, np.uint8), (self.rare, np.uint8))]
+        table = [np.array(x, t) for x, t in ((self.ids, np.int64), (self.ns, np.uint32), (self.needs, np.uint8), (self.rare, np.uint8), (self.sig, np.int64))]
         cuts = np.flatnonzero(np.diff(block)) + 1
         rows = []
         for lo, hi in zip(np.concatenate([[0], cuts]).tolist(), np.append(cuts, len(block)).tolist()):
             if lo < hi:
                 own, local = np.unique(docs[lo:hi], return_inverse=True)
-                rows.append((int(block[lo]), keys[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), pos[lo:hi].tobytes(), *(x[own].tobytes() for x in table)))
+                rows.append((int(block[lo]), keys[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), pos[lo:hi].tobytes(), *(x[own].tobytes() if len(x) else b"" for x in table)))
         self._clear()
         for a in range(0, len(rows), 16):
             cols = list(zip(*rows[a : a + 16]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                names=["block", "key", "doc", "pos", "id", "n", "need", "rare"],
+                names=_KEY_NAMES,
             )
 
 
@@ -255,22 +289,24 @@ def _shared(blobs: list[tuple], least: float) -> tuple[np.ndarray, ...] | None:
     The leader is the key's class with the smallest rare share (a copy with the fewest changes of
     its own) if the sizes allow a match, else the key's first class that is large enough.
     """
-    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-    for key, doc, pos, sid, n, need, rare in blobs:
+    cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+    for key, doc, pos, sid, n, need, rare, sig in blobs:
         d = np.frombuffer(doc, np.uint16)
-        parts = (np.frombuffer(key, np.uint32), np.frombuffer(sid, np.int64)[d], np.frombuffer(n, np.uint32)[d], np.frombuffer(need, np.uint8)[d], np.frombuffer(pos, np.uint16), np.frombuffer(rare, np.uint8)[d])
+        bits = np.frombuffer(sig, np.int64)[d] if sig else np.full(len(d), -1, np.int64)
+        parts = (np.frombuffer(key, np.uint32), np.frombuffer(sid, np.int64)[d], np.frombuffer(n, np.uint32)[d], np.frombuffer(need, np.uint8)[d], np.frombuffer(pos, np.uint16), np.frombuffer(rare, np.uint8)[d], bits)
         for c, x in zip(cols, parts):
             c.append(x)
-    keys, ids, ns, needs, pos, rare = map(np.concatenate, cols)
+    keys, ids, ns, needs, pos, rare, sig = map(np.concatenate, cols)
+    cols.clear()
     order = np.lexsort((ids, ns, keys))
-    keys, ids, ns, needs, pos, rare = (x[order] for x in (keys, ids, ns, needs, pos, rare))
+    keys, ids, ns, needs, pos, rare, sig = (x[order] for x in (keys, ids, ns, needs, pos, rare, sig))
     keep = np.ones(len(keys), bool)  # a class may come from several tasks
     keep[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
     group = np.cumsum(np.diff(keys.astype(np.int64), prepend=-1) != 0) - 1
     keep &= np.bincount(group, weights=keep)[group] > 1
     if not keep.any():
         return None
-    keys, ids, ns, needs, pos, rare = (x[keep] for x in (keys, ids, ns, needs, pos, rare))
+    keys, ids, ns, needs, pos, rare, sig = (x[keep] for x in (keys, ids, ns, needs, pos, rare, sig))
     group = np.cumsum(np.diff(keys.astype(np.int64), prepend=-1) != 0) - 1
     first = np.flatnonzero(np.diff(group, prepend=-1))
     clean = np.lexsort((np.arange(len(keys)), rare, group))[first][group]
@@ -278,11 +314,11 @@ def _shared(blobs: list[tuple], least: float) -> tuple[np.ndarray, ...] | None:
     wanted = (group.astype(np.int64) << 32) | np.ceil(ns * least - 1e-9).astype(np.int64)
     large_enough = np.searchsorted(place, wanted)
     fits = np.minimum(ns, ns[clean]) >= np.maximum(ns, ns[clean]) * least - 1e-9
-    return keys, ids, ns, needs, pos, np.where(fits, clean, large_enough)
+    return keys, ids, ns, needs, pos, sig, np.where(fits, clean, large_enough)
 
 
 def shared_keys(written: DataFrame, blocks: int, least: float) -> DataFrame:
-    """key, id, n, need, pos, leader (null for a leader) of all postings whose key has several classes."""
+    """key, id, n, need, pos, sig, leader (null for a leader) of all postings whose key has several classes."""
 
     def run(batches):
         blobs: dict[int, list[tuple]] = {}
@@ -294,7 +330,7 @@ def shared_keys(written: DataFrame, blocks: int, least: float) -> DataFrame:
             got = _shared(blobs.pop(block), least)
             if got is None:
                 continue
-            keys, ids, ns, needs, pos, leader = got
+            keys, ids, ns, needs, pos, sig, leader = got
             whole = (np.int64(block) << 32) | keys.astype(np.int64)
             own = leader == np.arange(len(ids))
             for a in range(0, len(ids), 50_000):
@@ -306,12 +342,13 @@ def shared_keys(written: DataFrame, blocks: int, least: float) -> DataFrame:
                         pa.array(ns[s].astype(np.int64), pa.int64()),
                         pa.array(needs[s].astype(np.int32), pa.int32()),
                         pa.array(pos[s].astype(np.int32), pa.int32()),
+                        pa.array(sig[s], pa.int64()),
                         pa.array(ids[leader[s]], pa.int64(), mask=own[s]),
                     ],
-                    names=["key", "id", "n", "need", "pos", "leader"],
+                    names=["key", "id", "n", "need", "pos", "sig", "leader"],
                 )
 
-    return written.repartition(blocks, "block").mapInArrow(run, "key long, id long, n long, need int, pos int, leader long")
+    return written.repartition(blocks, "block").mapInArrow(tidy(run), "key long, id long, n long, need int, pos int, sig long, leader long")
 
 
 # --- tests and components --------------------------------------------------------------------------
@@ -326,21 +363,22 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 #: Bytes of a packed hash.
-WIDTH = 5
+WIDTH = 8
 
 
 def pack(s: np.ndarray) -> bytes:
-    """The low 40 bits of each hash, 5 bytes each, ascending. Two of a pair's shingles meet in these
-    bits by chance with a probability of about n * n / 2^40."""
-    low = np.sort(s & U((1 << 40) - 1))
-    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+    """A sorted set of hashes as bytes; all 64 bits stay, so tests compare whole hashes."""
+    return s.astype("<u8").tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    x = np.frombuffer(blob, np.uint8).reshape(-1, WIDTH)
-    out = np.zeros((len(x), 8), np.uint8)
-    out[:, :WIDTH] = x
-    return out.reshape(-1).view("<u8")
+    return np.frombuffer(blob, "<u8")
+
+
+def signature(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bits for each of the sets that begin at `at` in a row of hashes: bit i is set if a hash has
+    i as its upper six bits. A bit that only one of two sets has is an element of only that one."""
+    return np.bitwise_or.reduceat(U(1) << (sets >> U(58)), at).view(np.int64) if len(at) else np.zeros(0, np.int64)
 
 
 def common_of(a: np.ndarray, b: np.ndarray) -> int:
@@ -364,7 +402,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = 100 * common >= percent * (n - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common), pa.array(ok)], names=["a", "b", "common", "linked"])
 
-    return both.mapInArrow(run, "a long, b long, common long, linked boolean")
+    return both.mapInArrow(tidy(run), "a long, b long, common long, linked boolean")
 
 
 def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -372,64 +410,171 @@ def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return compared(pairs, sets, percent).filter("linked").select("a", "b")
 
 
-#: Pairs that a task gives out at once, and members of a key that meet in one task.
-PAIRS, MEET = 200_000, 2_000
+#: Pairs that a task gives out at once, and members of a key or group that meet in one task.
+PAIRS, MEET = 200_000, 1_000
+#: Two keys of one class can fall on one 32-bit key; bounds from counts of keys allow for as many.
+SLACK = 2
+_CLASS = ("id", "n", "need", "c", "g", "reach", "rest", "hub", "common", "sig")
+
 
+def _classes(shared: DataFrame, labels: DataFrame, known_hubs: DataFrame, percent: int, ordered: bool) -> DataFrame:
+    """What is known of each class that shares a key: its component c and group g (the component of
+    its hub), and bounds.
 
-def crossing_pairs(shared: DataFrame, labels: DataFrame, known_hubs: DataFrame, percent: int, blocks: int) -> DataFrame:
-    """(a, b) of classes that share at least the smaller of their needs in keys, are in different
-    components and can be similar. A key with more than MEET classes is dealt out as pairs of parts.
+    reach bounds what a class shares with any other: a key in its prefix that nobody else has is
+    shared with nobody, so of the n elements only the shared keys and those behind the prefix
+    (rest of them) count, and none before its first shared key.
+    """
+    facts = shared.groupBy("id").agg(
+        F.max("n").alias("n"), F.max("need").alias("need"), F.min("pos").alias("_pos"), F.count("*").alias("_keys"), F.first("sig").alias("sig")
+    )
+    n = F.col("n")
+    rest = F.ceil(n * percent / 100).cast("long") - F.col("need") if ordered else n
+    facts = facts.withColumn("rest", rest)
+    facts = facts.withColumn("reach", F.least(n - F.col("_pos"), F.col("rest") + F.col("_keys") + SLACK) if ordered else n)
+    facts = facts.join(labels, "id", "left").join(known_hubs, "id", "left")
+    facts = facts.withColumn("c", F.coalesce("component", "id")).drop("component")
+    facts = facts.withColumn("hub", F.coalesce("hub", "id")).withColumn("common", F.coalesce("common", "n"))
+    of_hub = labels.select(F.col("id").alias("hub"), F.col("component").alias("_g"))
+    return facts.join(of_hub, "hub", "left").withColumn("g", F.coalesce("_g", "hub")).select(*_CLASS)
+
+
+def _can_link(x: dict, i, j, percent: int) -> np.ndarray:
+    """Whether classes i and j (places in the columns x) can be a link that is not known yet."""
+    total = (x["n"][i] + x["n"][j]) * percent  # against (100 + percent) times what both share
+    more = 100 + percent
+    ok = (x["c"][i] != x["c"][j]) & (x["hub"][i] != x["id"][j]) & (x["hub"][j] != x["id"][i])
+    low, high = np.minimum(x["n"][i], x["n"][j]), np.maximum(x["n"][i], x["n"][j])
+    ok &= low * 100 >= high * percent
+    ok &= total <= np.minimum(x["reach"][i], x["reach"][j]) * more
+    # what both share lies in a common hub or outside of it
+    inside = np.minimum(x["common"][i], x["common"][j])
+    outside = np.minimum(x["n"][i] - x["common"][i], x["n"][j] - x["common"][j])
+    ok &= (x["hub"][i] != x["hub"][j]) | (total <= (inside + outside) * more)
+    # an element whose bit the other class lacks is not shared; equal sets are one class
+    own_i = np.bitwise_count(x["sig"][i] & ~x["sig"][j]).astype(np.int64)
+    own_j = np.bitwise_count(x["sig"][j] & ~x["sig"][i]).astype(np.int64)
+    most = np.minimum(np.minimum(x["n"][i] - own_i, x["n"][j] - own_j), high - 1)
+    return ok & (total <= most * more)
+
+
+def _least_keys(x: dict, i, j, percent: int) -> np.ndarray:
+    """How many keys a link of classes i and j shares at least: their need, and all of the overlap
+    that cannot lie behind the prefixes."""
+    overlap = -(-(x["n"][i] + x["n"][j]) * percent // (100 + percent))
+    return np.maximum(np.minimum(x["need"][i], x["need"][j]), overlap - np.maximum(x["rest"][i], x["rest"][j]) - SLACK)
+
+
+def _cells(rows: DataFrame, key: str, parts: str, blocks: int) -> DataFrame:
+    """Rows dealt to cells, all rows of a cell together and in a row: part p of a key meets part q in
+    the cell (min, max). side tells the parts of a cell apart; in a cell of one part all meet."""
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.col(parts)).cast("int"))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+    cell = F.xxhash64(key, F.least("p", "q"), F.greatest("p", "q"))
+    side = F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2)
+    rows = rows.withColumn("cell", cell).withColumn("side", side.cast("long")).drop("p", "q", parts)
+    return rows.repartition(blocks, "cell").sortWithinPartitions("cell")
+
+
+def _by_cell(batches) -> Iterator[pa.Table]:
+    """The rows of each cell, from batches that have them in a row."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cell = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), b.num_rows]
+        if held and held[0].column(0)[0].as_py() != cell[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def crossing_pairs(shared: DataFrame, labels: DataFrame, known_hubs: DataFrame, percent: int, blocks: int, ordered: bool) -> DataFrame:
+    """(a, b) of classes that share as many keys as a link must, are in different components and can
+    be similar. A key or group with more than MEET classes is dealt out as pairs of parts.
 
     known_hubs gives a class's hub (the leader it was tested against) and the size of their
-    intersection. What two classes x, y of one hub h share lies inside h or outside of it, so
-    |x & y| <= min(|x & h|, |y & h|) + min(|x - h|, |y - h|): an outsider that shares much with a
-    hub without being linked to it need not be tested against each member of the hub's group.
+    intersection; ordered says whether the keys are prefixes (or just keys, of which one suffices).
     """
-    # what comes before a class's first shared key is shared with nobody, so at most `reach` is
-    reach = shared.groupBy("id").agg((F.max("n") - F.min("pos")).alias("reach"))
-    known = shared.select("key", "id", "n", "need").join(reach.join(labels, "id", "left"), "id")
-    known = known.join(known_hubs, "id", "left")
-    known = known.withColumn("c", F.coalesce("component", "id")).drop("component")
-    known = known.withColumn("hub", F.coalesce("hub", "id")).withColumn("common", F.coalesce("common", "n"))
-    sizes = known.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    open_keys = sizes.filter("c0 <> c1").select("key", F.ceil(F.col("m") / MEET).cast("int").alias("parts"))
-    rows = known.join(open_keys, "key").withColumn("p", F.pmod(F.xxhash64("c", "id"), F.col("parts")).cast("int"))
-    # part p meets part q in the cell (min, max); a key in one part has the one cell (0, 0)
-    q = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.withColumn("q", q).withColumn("cell", F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")))
-    rows = rows.select("cell", "id", "n", "need", "c", "reach", "hub", "common", (F.col("p") < F.col("q")).cast("int").alias("side"), (F.col("p") == F.col("q")).alias("alone"))
+    classes = cut(_classes(shared, labels, known_hubs, percent, ordered))
+    postings = shared.select("key", "id").join(classes, "id")
+    return _inside_groups(postings, classes, percent, blocks).unionByName(_between_groups(postings, percent, blocks)), classes
+
+
+def _inside_groups(postings: DataFrame, classes: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """Pairs of one group. A class comes to a cell once, with all its keys, so pairs are counted there."""
+    open_keys = postings.groupBy("g", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("g", "key")
+    own = postings.select("g", "key", "id").join(open_keys, ["g", "key"]).groupBy("id").agg(F.collect_list("key").alias("keys"))
+    rows = classes.join(own, "id")
+    parts = rows.groupBy("g").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
+    rows = _cells(rows.join(parts, "g"), "g", "parts", blocks).select("cell", "side", *_CLASS, "keys")
+
+    def run(batches):
+        for t in _by_cell(batches):
+            if t.num_rows < 2:
+                continue
+            x = {c: t.column(c).to_numpy().astype(np.int64) for c in ("side", *_CLASS)}
+            lists = t.column("keys").combine_chunks()
+            owner = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+            key = lists.flatten().to_numpy()
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            k = np.zeros((t.num_rows, t.num_rows), np.int32)
+            two = first[size == 2]
+            np.add.at(k, (owner[two], owner[two + 1]), 1)
+            for lo, m in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+                at = owner[lo : lo + m]
+                k[np.ix_(at, at)] += 1
+            i, j = np.nonzero(np.triu(k, 1))
+            if not len(i):
+                continue
+            ok = (x["side"][i] != x["side"][j]) | (x["side"][i] == 0)
+            i, j = i[ok], j[ok]
+            ok = k[i, j] >= _least_keys(x, i, j, percent)
+            i, j = i[ok], j[ok]
+            ok = _can_link(x, i, j, percent)
+            a, b = x["id"][i[ok]], x["id"][j[ok]]
+            for at in range(0, len(a), PAIRS):
+                s = slice(at, at + PAIRS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[s], b[s])), pa.array(np.maximum(a[s], b[s]))], names=["a", "b"])
+
+    return rows.mapInArrow(tidy(run), "a long, b long")
+
+
+def _between_groups(postings: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """Pairs of different groups, met by key and counted over keys."""
+    sizes = postings.groupBy("key").agg(F.count("*").alias("m"), F.min("g").alias("g0"), F.max("g").alias("g1"))
+    open_keys = sizes.filter("g0 <> g1").select("key", F.ceil(F.col("m") / MEET).cast("int").alias("parts"))
+    rows = _cells(postings.join(open_keys, "key"), "key", "parts", blocks).select("cell", "side", *_CLASS)
 
     def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        cols = [t.column(i).to_numpy() for i in range(10)]
-        order = np.lexsort((cols[2], cols[0]))
-        cell, sid, n, need, c, reach, hub, common, side, alone = (x[order] for x in cols)
-        n = n.astype(np.int64)
-        first = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1 if len(cell) else 0) != 0)
-        ends = np.append(first[1:], len(cell))
         wait, held = [], 0
-        for lo, hi in zip(first, ends):
-            if hi - lo < 2 or (c[lo:hi] == c[lo]).all():
+        for t in _by_cell(batches):
+            if t.num_rows < 2:
                 continue
-            for i in range(lo, hi - 1):
+            x = {c: t.column(c).to_numpy().astype(np.int64) for c in ("side", *_CLASS)}
+            if (x["g"] == x["g"][0]).all():
+                continue
+            order = np.argsort(x["n"], kind="stable")
+            x = {c: v[order] for c, v in x.items()}
+            tops = np.searchsorted(x["n"], x["n"] * 100 / percent + 1e-9, side="right")
+            for i in range(len(order) - 1):
                 # sizes ascend, so matches of i end where they become too large
-                top = np.searchsorted(n[lo:hi], n[i] * 100 / percent + 1e-9, side="right") + lo
-                if top <= i + 1:
-                    continue
-                j = np.arange(i + 1, top)
-                ok = (c[j] != c[i]) & (sid[j] != sid[i]) & (alone[j] | (side[j] != side[i]))
-                # the overlap that a link needs, against the most that either side can share
-                ok &= (n[j] + n[i]) * percent <= np.minimum(reach[j], reach[i]) * (100 + percent)
-                # a class and its hub have been tested
-                ok &= (hub[j] != sid[i]) & (sid[j] != hub[i])
-                j = j[ok]
-                most = np.minimum(common[j], common[i]) + np.minimum(n[j] - common[j], n[i] - common[i])
-                j = j[(hub[j] != hub[i]) | ((n[j] + n[i]) * percent <= most * (100 + percent))]
+                j = np.arange(i + 1, tops[i])
+                j = j[(x["g"][j] != x["g"][i]) & ((x["side"][j] != x["side"][i]) | (x["side"][j] == 0))]
+                j = j[_can_link(x, np.full(len(j), i), j, percent)] if len(j) else j
                 if len(j):
-                    wait.append((np.minimum(sid[j], sid[i]), np.maximum(sid[j], sid[i]), np.minimum(need[j], need[i])))
+                    least = _least_keys(x, np.full(len(j), i), j, percent)
+                    wait.append((np.minimum(x["id"][j], x["id"][i]), np.maximum(x["id"][j], x["id"][i]), least))
                     held += len(j)
                 if held >= PAIRS:
                     yield _counted(wait)
@@ -437,29 +582,27 @@ def crossing_pairs(shared: DataFrame, labels: DataFrame, known_hubs: DataFrame,
         if held:
             yield _counted(wait)
 
-    given = rows.repartition(blocks, "cell").mapInArrow(run, "a long, b long, need int, k long")
-    return given.groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("need").alias("need")).filter("k >= need").select("a", "b")
+    given = rows.mapInArrow(tidy(run), "a long, b long, least long, k long")
+    return given.groupBy("a", "b").agg(F.sum("k").alias("k"), F.max("least").alias("least")).filter("k >= least").select("a", "b")
 
 
 def _counted(wait: list[tuple]) -> pa.RecordBatch:
-    a, b, need = (np.concatenate(x) for x in zip(*wait))
+    a, b, least = (np.concatenate(x) for x in zip(*wait))
     order = np.lexsort((b, a))
-    a, b, need = a[order], b[order], need[order]
+    a, b, least = a[order], b[order], least[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     at = np.flatnonzero(new)
     k = np.diff(np.append(at, len(a)))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a[at], pa.int64()), pa.array(b[at], pa.int64()), pa.array(need[at].astype(np.int32), pa.int32()), pa.array(k, pa.int64())],
-        names=["a", "b", "need", "k"],
-    )
+    return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(least[at]), pa.array(k)], names=["a", "b", "least", "k"])
 
 
-def linked(shared: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, blocks: int) -> DataFrame:
+def linked(shared: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, blocks: int, ordered: bool) -> DataFrame:
     """id, component of the classes that links join: the two rounds of the module's account.
 
     sets gives (id, set) of at least the classes of its one-column argument; each round scans for
-    the sets that it tests, which costs less than keeping all of them on disk.
+    the sets that it tests, which costs less than keeping all of them on disk. ordered: see
+    crossing_pairs().
     """
     votes = shared.filter("leader is not null").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("k"))
     best = cut(votes.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")))
@@ -467,20 +610,22 @@ def linked(shared: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: i
     first = tries.filter("linked").select("a", "b")
     labels = cut(components(first))
     known_hubs = tries.select(F.col("a").alias("id"), F.col("b").alias("hub"), "common")
-    pairs = cut(crossing_pairs(shared, labels, known_hubs, percent, blocks))
+    pairs, classes = crossing_pairs(shared, labels, known_hubs, percent, blocks, ordered)
+    pairs = cut(pairs)
     rest = cut(tested(pairs, sets(_ends(pairs)), percent))
     out = cut(components(first.unionByName(rest)))
-    drop(best, tries, labels, pairs, rest)
+    drop(best, tries, labels, classes, pairs, rest)
     return out
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
 
 
 def map_sets(docs: DataFrame, column: str, make: Callable, schema: str, carry: list[str] = ()) -> DataFrame:
     """mapInArrow over pieces of a text column: make() gives (each(offset-free values, carried
     columns), last()), both yielding record batches."""
+    small_batches(docs.sparkSession)
     source = docs.select(*carry, column)
 
     def run(batches):
@@ -491,7 +636,7 @@ def map_sets(docs: DataFrame, column: str, make: Callable, schema: str, carry: l
                 yield from each(values, [b.column(i).slice(at, len(values)) for i in range(len(carry))])
         yield from last()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def sets_of(docs: DataFrame, column: str, wanted: bytes, k: int = 5) -> DataFrame:
@@ -507,7 +652,7 @@ def sets_of(docs: DataFrame, column: str, wanted: bytes, k: int = 5) -> DataFram
             rows = []
             for s, i, good in zip(sets, ids.tolist(), passes(blob, ids)):
                 if good and i not in seen:
-                    if len(seen) > 500_000:
+                    if len(seen) > SEEN:
                         seen.clear()
                     seen.add(i)
                     rows.append((i, pack(s)))

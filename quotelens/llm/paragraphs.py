@@ -115,7 +115,7 @@ def _new(ids: np.ndarray, seen: set) -> np.ndarray:
     """Places of ids not seen before in this task, one for each id."""
     _, first = np.unique(ids, return_index=True)
     out = [i for i in first.tolist() if int(ids[i]) not in seen]
-    if len(seen) > 600_000:
+    if len(seen) > links.SEEN:
         seen.clear()
     seen.update(ids[out].tolist())
     return np.array(sorted(out), int)
@@ -130,7 +130,7 @@ def band_keys(docs: DataFrame, blocks: int) -> DataFrame:
             if len(u.ids):
                 at = _new(u.ids, seen)
                 if len(at):
-                    yield from out.add_many(u.ids[at], u.n[at], u.keys()[at])
+                    yield from out.add_many(u.ids[at], u.n[at], u.keys()[at], links.signature(u.g, u.at)[at])
 
         return each, out.flush
 
@@ -197,7 +197,7 @@ def repeated(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     shared = cut(links.shared_keys(band_keys(docs, blocks), blocks, percent / 100))
-    labels = links.linked(shared, lambda ids: sets_of(docs, links.id_filter(ids, "id")), percent, blocks)
+    labels = links.linked(shared, lambda ids: sets_of(docs, links.id_filter(ids, "id")), percent, blocks, False)
     # a class repeats by a link to another one, or by occurring twice itself
     wanted = links.id_filter(labels.select("id").unionByName(_often(docs)), "id")
     found = occurrences(docs, wanted)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.llm.common import map_texts
+from quotelens.llm.common import fresh, map_texts, quoted, small_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: A further candidate becomes a span from this probability on.
@@ -341,7 +341,7 @@ def estimate(patterns: list[tuple[int, int, int, int]], rounds: int = 50) -> Mod
 
 
 def probability(model: Model, kind: str, votes: int, features: int) -> float:
-    """What the classifier says."""
+    """What the classifier says of the votes and the shape of a candidate."""
     w = model.weights[KINDS.index(kind)]
     z = w[-1] + sum(w[i] for i in range(FEATURES) if features >> i & 1)
     for j in range(SEEN):
@@ -360,11 +360,12 @@ def all_spans(text: str | None, model: Model) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     if not text:
         return base, base
-    added: list[Span] = []
+    added: list[Span] = []  # ascending and disjoint
     for span, votes, features, is_base in candidates(text, base):
         if not is_base and accepted(model, span.kind, votes, features):
-            if not any(span.start < s.end and s.start < span.end for s in added[-3:]):
-                added.append(span)
+            k = bisect_left(added, span.start, key=lambda s: s.start)
+            if (not k or added[k - 1].end <= span.start) and (k == len(added) or span.end <= added[k].start):
+                added.insert(k, span)
     return base, ordered([*base, *added]) if added else base
 
 
@@ -389,7 +390,8 @@ def fit(docs: DataFrame) -> Model:
             cols = [pa.array([k[i] for k in sums], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(list(sums.values()), pa.int64())], names=["k", "v", "f", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "k long, v long, f long, n long")
+    small_batches(docs.sparkSession)
+    counted = docs.select("text").mapInArrow(tidy(count), "k long, v long, f long, n long")
     rows = counted.groupBy("k", "v", "f").agg(F.sum("n").alias("n")).collect()
     return estimate(sorted((r.k, r.v, r.f, r.n) for r in rows))
 
@@ -436,6 +438,7 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
         own = Model(*shared.value)
         return lambda texts: ([t and redacted(t, all_spans(t, own)[1]) for t in texts],)
 
-    cols = docs.columns
-    others = [c for c in cols if c != "text"]
-    return map_texts(docs, make, "_text string", others).withColumnRenamed("_text", "text").select(*cols)
+    name = fresh(docs, "_text")
+    others = [c for c in docs.columns if c != "text"]
+    clean = map_texts(docs, make, f"`{name}` string", others)
+    return clean.select(*[F.col(name).alias("text") if c == "text" else quoted(c) for c in docs.columns])
