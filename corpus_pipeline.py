@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; run()
 writes each stage's result to the shared folder and reads it for the next one. All stages but the
-last return the columns of documents. Rows with null or empty texts are kept by every stage.
+last return the columns of documents, whatever further columns they have and however those are
+called. Null and empty texts are kept by every stage, rows with a null doc_id too; repeated rows are
+judged alike, and become one among the near documents. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,39 +12,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm import decontaminate, jaccard, links, mixing, pii, toxicity
-from quotelens.llm.common import cut, map_texts, table
+from quotelens.llm import decontaminate, jaccard, mixing, pii, toxicity
+from quotelens.llm.common import cut, drop, fresh, quoted, scope, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is below the threshold."""
-    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, net, docs.columns)
-    return scored.filter(F.col("score") < toxicity.AT).select(*docs.columns)
+    net, name = toxicity.fit(docs, table(spark, sf_dir, "labels")), fresh(docs, "score")
+    scored = toxicity.score(docs, net, docs.columns, name)
+    return scored.filter(F.col(name) < toxicity.AT).select(*map(quoted, docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near documents: of those with its least doc_id, the one of least
-    text. Rows with a null doc_id stay; repeated rows become one. Rows that share a doc_id but are
-    not near each other are told apart by their texts."""
-    stays = (
-        jaccard.near_classes(docs, named_sets=True)
-        .filter("doc_id = component_id")
-        .select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_set"), F.col("linked_id").alias("_linked"))
-        .distinct()
-    )
-    made = lambda: lambda texts: ([links.set_id(s) if len(s) else None for s in links.shingle_sets(texts)],)
-    rows = map_texts(docs.filter("doc_id is not null"), made, "_own long", docs.columns)
-    kept = rows.join(stays, (F.col("doc_id") == F.col("_id")) & F.col("_own").eqNullSafe(F.col("_set")))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    least = kept.groupBy("doc_id", "_linked").agg(F.min(F.struct("text", *others)).alias("_row"))
-    return least.select("doc_id", "_row.*").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near documents: of those with its least doc_id, the one of the shortest
+    text. Rows with a null doc_id stay. Rows that share a doc_id but are not near each other are
+    told apart by their texts."""
+    return jaccard.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no benchmark window occurs."""
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("items") == 0).select(*docs.columns)
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +40,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     clean = pii.redact(docs, pii.fit(docs))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        fresh = F.coalesce(F.length("text").cast(kind), F.col("n_chars"))
-        clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNull(), None).otherwise(fresh))
-    return clean.select(*docs.columns)
+        counted = F.coalesce(F.length("text").cast(kind), F.col("n_chars"))
+        clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNull(), None).otherwise(counted))
+    return clean.select(*map(quoted, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,10 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. What a stage has written for itself, and the result
+    that it has read, is deleted once its own result is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before = docs
+        with scope():
+            made = stage(spark, before, sf_dir)
+            path = cut(made, stays=True)
+        drop(before)
+        docs = path
+    return STAGES[-1][1](spark, docs, sf_dir)
