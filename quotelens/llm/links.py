@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelens.llm.common import _pieces, cut, drop, mix64, small_batches, tidy
@@ -318,14 +318,30 @@ def _shared(blobs: list[tuple], least: float) -> tuple[np.ndarray, ...] | None:
 
 
 def shared_keys(written: DataFrame, blocks: int, least: float) -> DataFrame:
-    """key, id, n, need, pos, sig, leader (null for a leader) of all postings whose key has several classes."""
+    """key, id, n, need, pos, sig, leader (null for a leader) of all postings whose key has several classes.
+
+    Rows without classes (a null id) hold short names of one block, see short_names(); of those that
+    come twice or more there is a row with a null key and the name as id.
+    """
 
     def run(batches):
         blobs: dict[int, list[tuple]] = {}
+        names: dict[int, list[bytes]] = {}
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
             for block, *rest in zip(*cols):
-                blobs.setdefault(block, []).append(tuple(rest))
+                if rest[3] is None:
+                    names.setdefault(block, []).append(rest[0])
+                else:
+                    blobs.setdefault(block, []).append(tuple(rest))
+        for block in sorted(names):
+            x = np.frombuffer(b"".join(names.pop(block)), np.uint32)
+            x = np.sort(x)
+            again = np.unique(x[1:][x[1:] == x[:-1]]).astype(np.int64) | (np.int64(block) << 32)
+            for a in range(0, len(again), 50_000):
+                ids = pa.array(again[a : a + 50_000])
+                none = [pa.nulls(len(ids), t) for t in _SHARED]
+                yield pa.RecordBatch.from_arrays([none[0], ids, *none[2:]], names=_SHARED_NAMES)
         for block in sorted(blobs):
             got = _shared(blobs.pop(block), least)
             if got is None:
@@ -335,22 +351,38 @@ def shared_keys(written: DataFrame, blocks: int, least: float) -> DataFrame:
             own = leader == np.arange(len(ids))
             for a in range(0, len(ids), 50_000):
                 s = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(whole[s], pa.int64()),
-                        pa.array(ids[s], pa.int64()),
-                        pa.array(ns[s].astype(np.int64), pa.int64()),
-                        pa.array(needs[s].astype(np.int32), pa.int32()),
-                        pa.array(pos[s].astype(np.int32), pa.int32()),
-                        pa.array(sig[s], pa.int64()),
-                        pa.array(ids[leader[s]], pa.int64(), mask=own[s]),
-                    ],
-                    names=["key", "id", "n", "need", "pos", "sig", "leader"],
-                )
+                cols = [whole[s], ids[s], ns[s].astype(np.int64), needs[s].astype(np.int32), pos[s].astype(np.int32), sig[s]]
+                arrays = [pa.array(c, t) for c, t in zip(cols, _SHARED)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(ids[leader[s]], pa.int64(), mask=own[s])], names=_SHARED_NAMES)
 
     return written.repartition(blocks, "block").mapInArrow(tidy(run), "key long, id long, n long, need int, pos int, sig long, leader long")
 
 
+_SHARED_NAMES = ["key", "id", "n", "need", "pos", "sig", "leader"]
+_SHARED = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+
+def short_names(ids: np.ndarray, blocks: int) -> np.ndarray:
+    """Names of 32 bits and a block for 64-bit ids, as longs: enough to tell which ids may come twice."""
+    x = ids.astype(np.int64).view(U)
+    block = ((x >> U(32) & U(0xFFFF)) * U(blocks)) >> U(16)
+    return (block << U(32) | (x & U(0xFFFFFFFF))).astype(np.int64)
+
+
+def name_rows(names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Short names as rows of KEY_SCHEMA, one for each block."""
+    names = np.sort(names)
+    block = names >> 32
+    heads = np.flatnonzero(np.diff(block, prepend=-1))
+    low = names.astype(np.uint32)
+    blobs = [x.tobytes() for x in np.split(low, heads[1:])]
+    for a in range(0, len(heads), 16):
+        part = blobs[a : a + 16]
+        none = pa.nulls(len(part), pa.binary())
+        at = pa.array(block[heads[a : a + 16]].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([at, pa.array(part, pa.binary()), *[none] * 7], names=_KEY_NAMES)
+
+
 # --- tests and components --------------------------------------------------------------------------
 
 
@@ -417,9 +449,8 @@ SLACK = 2
 _CLASS = ("id", "n", "need", "c", "g", "reach", "rest", "hub", "common", "sig")
 
 
-def _classes(shared: DataFrame, labels: DataFrame, known_hubs: DataFrame, percent: int, ordered: bool) -> DataFrame:
-    """What is known of each class that shares a key: its component c and group g (the component of
-    its hub), and bounds.
+def _facts(shared: DataFrame, percent: int, ordered: bool) -> DataFrame:
+    """id, n, need, reach, rest, sig of each class that shares a key.
 
     reach bounds what a class shares with any other: a key in its prefix that nobody else has is
     shared with nobody, so of the n elements only the shared keys and those behind the prefix
@@ -429,12 +460,28 @@ def _classes(shared: DataFrame, labels: DataFrame, known_hubs: DataFrame, percen
         F.max("n").alias("n"), F.max("need").alias("need"), F.min("pos").alias("_pos"), F.count("*").alias("_keys"), F.first("sig").alias("sig")
     )
     n = F.col("n")
-    rest = F.ceil(n * percent / 100).cast("long") - F.col("need") if ordered else n
-    facts = facts.withColumn("rest", rest)
-    facts = facts.withColumn("reach", F.least(n - F.col("_pos"), F.col("rest") + F.col("_keys") + SLACK) if ordered else n)
+    facts = facts.withColumn("rest", F.ceil(n * percent / 100).cast("long") - F.col("need") if ordered else n)
+    reach = F.least(n - F.col("_pos"), F.col("rest") + F.col("_keys") + SLACK) if ordered else n
+    return facts.withColumn("reach", reach).drop("_pos", "_keys")
+
+
+def _worth_a_test(best: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bounds allow a link."""
+    side = lambda x: facts.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "reach", "sig")))
+    both = best.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    total, more = (F.col("n_a") + F.col("n_b")) * percent, 100 + percent
+    own = lambda x, y: F.col(f"n_{x}") - F.bit_count(F.col(f"sig_{x}").bitwiseAND(F.bitwise_not(f"sig_{y}")))
+    most = F.least("reach_a", "reach_b", own("a", "b"), own("b", "a"), F.greatest("n_a", "n_b") - 1)
+    return both.filter(total <= most * more).select("a", "b")
+
+
+def _classes(facts: DataFrame, labels: DataFrame, known_hubs: DataFrame) -> DataFrame:
+    """The facts of each class with its component c, its hub, what it shares with the hub (-1 where
+    that was not counted) and its group g, the component of the hub."""
     facts = facts.join(labels, "id", "left").join(known_hubs, "id", "left")
     facts = facts.withColumn("c", F.coalesce("component", "id")).drop("component")
-    facts = facts.withColumn("hub", F.coalesce("hub", "id")).withColumn("common", F.coalesce("common", "n"))
+    common = F.when(F.col("hub").isNull(), F.col("n")).otherwise(F.coalesce("common", F.lit(-1)))
+    facts = facts.withColumn("common", common).withColumn("hub", F.coalesce("hub", "id"))
     of_hub = labels.select(F.col("id").alias("hub"), F.col("component").alias("_g"))
     return facts.join(of_hub, "hub", "left").withColumn("g", F.coalesce("_g", "hub")).select(*_CLASS)
 
@@ -450,7 +497,7 @@ def _can_link(x: dict, i, j, percent: int) -> np.ndarray:
     # what both share lies in a common hub or outside of it
     inside = np.minimum(x["common"][i], x["common"][j])
     outside = np.minimum(x["n"][i] - x["common"][i], x["n"][j] - x["common"][j])
-    ok &= (x["hub"][i] != x["hub"][j]) | (total <= (inside + outside) * more)
+    ok &= (x["hub"][i] != x["hub"][j]) | (inside < 0) | (total <= (inside + outside) * more)
     # an element whose bit the other class lacks is not shared; equal sets are one class
     own_i = np.bitwise_count(x["sig"][i] & ~x["sig"][j]).astype(np.int64)
     own_j = np.bitwise_count(x["sig"][j] & ~x["sig"][i]).astype(np.int64)
@@ -465,15 +512,16 @@ def _least_keys(x: dict, i, j, percent: int) -> np.ndarray:
     return np.maximum(np.minimum(x["need"][i], x["need"][j]), overlap - np.maximum(x["rest"][i], x["rest"][j]) - SLACK)
 
 
-def _cells(rows: DataFrame, key: str, parts: str, blocks: int) -> DataFrame:
-    """Rows dealt to cells, all rows of a cell together and in a row: part p of a key meets part q in
-    the cell (min, max). side tells the parts of a cell apart; in a cell of one part all meet."""
-    rows = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.col(parts)).cast("int"))
-    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
-    cell = F.xxhash64(key, F.least("p", "q"), F.greatest("p", "q"))
+def _cells(rows: DataFrame, key: str, blocks: int) -> DataFrame:
+    """Rows dealt to cells, all rows of a cell together and in a row: of the `parts` of a key, part p
+    meets part q in the cell (min, max). side tells the parts of a cell apart; in a cell of one part
+    all meet."""
+    whole = rows.filter("parts = 1").withColumn("cell", F.xxhash64(key)).withColumn("side", F.lit(0).cast("long"))
+    large = rows.filter("parts > 1").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    large = large.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2)
-    rows = rows.withColumn("cell", cell).withColumn("side", side.cast("long")).drop("p", "q", parts)
-    return rows.repartition(blocks, "cell").sortWithinPartitions("cell")
+    large = large.withColumn("cell", F.xxhash64(key, F.least("p", "q"), F.greatest("p", "q"))).withColumn("side", side.cast("long"))
+    return whole.unionByName(large.drop("p", "q")).repartition(blocks, "cell").sortWithinPartitions("cell")
 
 
 def _by_cell(batches) -> Iterator[pa.Table]:
@@ -496,25 +544,38 @@ def _by_cell(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def crossing_pairs(shared: DataFrame, labels: DataFrame, known_hubs: DataFrame, percent: int, blocks: int, ordered: bool) -> DataFrame:
+def crossing_pairs(shared: DataFrame, classes: DataFrame, percent: int, blocks: int) -> DataFrame:
     """(a, b) of classes that share as many keys as a link must, are in different components and can
-    be similar. A key or group with more than MEET classes is dealt out as pairs of parts.
+    be similar. A key or group with more than MEET classes is dealt out as pairs of parts."""
+    postings = cut(_open_postings(shared, classes, percent))
+    return _inside_groups(postings, classes, percent, blocks).unionByName(_between_groups(postings, classes, percent, blocks))
+
+
+def _open_postings(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """key, id, g, inside, between, m: postings that can still tell of a link, inside a group or between
+    groups; m classes have the key. One shuffle by key serves all windows.
 
-    known_hubs gives a class's hub (the leader it was tested against) and the size of their
-    intersection; ordered says whether the keys are prefixes (or just keys, of which one suffices).
+    A partner of n elements needs (n + own n) * percent <= reach * (100 + percent), and has at least
+    percent of the own n; where the least n of the key is above what this allows, there is none.
     """
-    classes = cut(_classes(shared, labels, known_hubs, percent, ordered))
-    postings = shared.select("key", "id").join(classes, "id")
-    return _inside_groups(postings, classes, percent, blocks).unionByName(_between_groups(postings, percent, blocks)), classes
+    narrow = shared.select("key", "id").join(classes.select("id", "g", "c", "n", "reach"), "id").repartition("key")
+    by_key, by_group = Window.partitionBy("key"), Window.partitionBy("key", "g")
+    largest = F.col("reach") * (100 + percent) / percent - F.col("n") + F.lit(1e-6)
+    narrow = narrow.withColumn("_low", F.greatest(F.min("n").over(by_key), F.ceil(F.col("n") * percent / 100))).filter(F.col("_low") <= largest)
+    rows = narrow.select(
+        "key", "id", "g", F.count("*").over(by_key).alias("m"),
+        (F.min("g").over(by_key) != F.max("g").over(by_key)).alias("between"),
+        (F.min("c").over(by_group) != F.max("c").over(by_group)).alias("inside"),
+    )
+    return rows.filter("inside or between")
 
 
 def _inside_groups(postings: DataFrame, classes: DataFrame, percent: int, blocks: int) -> DataFrame:
     """Pairs of one group. A class comes to a cell once, with all its keys, so pairs are counted there."""
-    open_keys = postings.groupBy("g", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("g", "key")
-    own = postings.select("g", "key", "id").join(open_keys, ["g", "key"]).groupBy("id").agg(F.collect_list("key").alias("keys"))
+    own = postings.filter("inside").groupBy("id").agg(F.collect_list("key").alias("keys"))
     rows = classes.join(own, "id")
     parts = rows.groupBy("g").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
-    rows = _cells(rows.join(parts, "g"), "g", "parts", blocks).select("cell", "side", *_CLASS, "keys")
+    rows = _cells(rows.join(parts, "g"), "g", blocks).select("cell", "side", *_CLASS, "keys")
 
     def run(batches):
         for t in _by_cell(batches):
@@ -550,11 +611,10 @@ def _inside_groups(postings: DataFrame, classes: DataFrame, percent: int, blocks
     return rows.mapInArrow(tidy(run), "a long, b long")
 
 
-def _between_groups(postings: DataFrame, percent: int, blocks: int) -> DataFrame:
+def _between_groups(postings: DataFrame, classes: DataFrame, percent: int, blocks: int) -> DataFrame:
     """Pairs of different groups, met by key and counted over keys."""
-    sizes = postings.groupBy("key").agg(F.count("*").alias("m"), F.min("g").alias("g0"), F.max("g").alias("g1"))
-    open_keys = sizes.filter("g0 <> g1").select("key", F.ceil(F.col("m") / MEET).cast("int").alias("parts"))
-    rows = _cells(postings.join(open_keys, "key"), "key", "parts", blocks).select("cell", "side", *_CLASS)
+    rows = postings.filter("between").select("key", "id", F.ceil(F.col("m") / MEET).cast("int").alias("parts"))
+    rows = _cells(rows.join(classes, "id"), "key", blocks).select("cell", "side", *_CLASS)
 
     def run(batches):
         wait, held = [], 0
@@ -604,17 +664,20 @@ def linked(shared: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: i
     the sets that it tests, which costs less than keeping all of them on disk. ordered: see
     crossing_pairs().
     """
+    facts = cut(_facts(shared, percent, ordered))
     votes = shared.filter("leader is not null").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("k"))
     best = cut(votes.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")))
-    tries = cut(compared(best, sets(_ends(best)), percent))
+    tests = cut(_worth_a_test(best, facts, percent))
+    tries = cut(compared(tests, sets(_ends(tests)), percent))
     first = tries.filter("linked").select("a", "b")
     labels = cut(components(first))
-    known_hubs = tries.select(F.col("a").alias("id"), F.col("b").alias("hub"), "common")
-    pairs, classes = crossing_pairs(shared, labels, known_hubs, percent, blocks, ordered)
-    pairs = cut(pairs)
+    counted = tries.select(F.col("a").alias("_a"), "common")
+    known_hubs = best.join(counted, F.col("a") == F.col("_a"), "left").select(F.col("a").alias("id"), F.col("b").alias("hub"), "common")
+    classes = cut(_classes(facts, labels, known_hubs))
+    pairs = cut(crossing_pairs(shared, classes, percent, blocks))
     rest = cut(tested(pairs, sets(_ends(pairs)), percent))
     out = cut(components(first.unionByName(rest)))
-    drop(best, tries, labels, classes, pairs, rest)
+    drop(facts, best, tests, tries, labels, classes, pairs, rest)
     return out
 
 

@@ -16,7 +16,7 @@ or more is reported to its exact ends, wherever it stands and however it is punc
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelens.llm import links
-from quotelens.llm.common import cut, mix64
+from quotelens.llm.common import cut, drop, mix64, tidy
 from quotelens.llm.links import U
 
 BANDS, ROWS = 6, 2
@@ -41,7 +41,7 @@ class Units:
     def __init__(self, texts: list[str | None]):
         raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b" ".join([*raws, b""]) or b" ", np.uint8)
-        h, counts = links.word_hashes(texts)
+        h, counts = self.h, self.counts = links.word_hashes(texts)
         space = (data == 32) | ((data >= 9) & (data <= 13))
         edge = np.diff((~space).astype(np.int8), prepend=0, append=0)
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -121,9 +121,18 @@ def _new(ids: np.ndarray, seen: set) -> np.ndarray:
     return np.array(sorted(out), int)
 
 
-def band_keys(docs: DataFrame, blocks: int) -> DataFrame:
+def first_scan(docs: DataFrame, blocks: int) -> DataFrame:
+    """Band keys of all paragraph classes, and the short names of all paragraphs and windows, at most
+    two of a name from one batch (more tell nothing new): one scan of the texts gives both."""
+
     def make():
-        out, seen = links.KeyWriter(blocks), set()
+        out, seen, wait = links.KeyWriter(blocks, 300_000), set(), []
+
+        def pour():
+            if wait:
+                names = np.concatenate(wait)
+                wait.clear()
+                yield from links.name_rows(names)
 
         def each(values, _):
             u = Units(values)
@@ -131,32 +140,61 @@ def band_keys(docs: DataFrame, blocks: int) -> DataFrame:
                 at = _new(u.ids, seen)
                 if len(at):
                     yield from out.add_many(u.ids[at], u.n[at], u.keys()[at], links.signature(u.g, u.at)[at])
+            for ids in (u.ids, _windows(u)[0]):
+                names = np.sort(links.short_names(ids, blocks))
+                third = np.zeros(len(names), bool)
+                third[2:] = names[2:] == names[:-2]
+                wait.append(names[~third])
+            if sum(map(len, wait)) > 500_000:
+                yield from pour()
+
+        def last():
+            yield from out.flush()
+            yield from pour()
 
-        return each, out.flush
+        return each, last
 
     return links.map_sets(docs, "text", make, links.KEY_SCHEMA)
 
 
-def occurrences(docs: DataFrame, wanted: bytes) -> DataFrame:
-    """doc_id, number, start, n_words, id of paragraphs whose class passes the filter."""
+def last_scan(docs: DataFrame, wanted: bytes, blocks: int) -> DataFrame:
+    """doc_id, number, start, n_words, id of paragraphs whose class passes the filter, and with a null
+    doc_id the packed places (block, rows) of the windows that pass."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    names = ["doc_id", "number", "start", "n_words", "id", "block", "rows"]
 
     def make():
-        blob = shared.value
+        blob, wait = shared.value, []
+
+        def pour():
+            if wait:
+                rows = np.concatenate(wait)
+                wait.clear()
+                for b in _packed(rows, "id", blocks):
+                    none = [pa.nulls(b.num_rows, pa.int64())] * 5
+                    yield pa.RecordBatch.from_arrays([*none, *b.columns], names=names)
 
         def each(values, carried):
             u = Units(values)
-            ok = np.flatnonzero(links.passes(blob, u.ids)) if len(u.ids) else []
+            doc_ids = carried[0].cast(pa.int64())
+            ok = np.flatnonzero(links.passes(blob, links.short_names(u.ids, blocks))) if len(u.ids) else []
             if len(ok):
-                doc = carried[0].cast(pa.int64()).take(pa.array(u.doc[ok]))
-                yield pa.RecordBatch.from_arrays(
-                    [doc, *(pa.array(x[ok].astype(np.int64)) for x in (u.number, u.start, u.size, u.ids))],
-                    names=["doc_id", "number", "start", "n_words", "id"],
-                )
+                doc = doc_ids.take(pa.array(u.doc[ok]))
+                cols = [pa.array(x[ok].astype(np.int64)) for x in (u.number, u.start, u.size, u.ids)]
+                yield pa.RecordBatch.from_arrays([doc, *cols, pa.nulls(len(ok), pa.int32()), pa.nulls(len(ok), pa.binary())], names=names)
+            ids, owner, pos = _windows(u)
+            ok = np.flatnonzero(links.passes(blob, links.short_names(ids, blocks))) if len(ids) else []
+            if len(ok):
+                rows = np.empty(len(ok), _PLACE)
+                rows["id"], rows["pos"] = ids[ok], pos[ok]
+                rows["doc"] = doc_ids.to_numpy(zero_copy_only=False)[owner[ok]]
+                wait.append(rows)
+                if sum(map(len, wait)) > 150_000:
+                    yield from pour()
 
-        return each, lambda: iter(())
+        return each, pour
 
-    return links.map_sets(docs, "text", make, "doc_id long, number long, start long, n_words long, id long", ["doc_id"])
+    return links.map_sets(docs, "text", make, "doc_id long, number long, start long, n_words long, id long, block int, rows binary", ["doc_id"])
 
 
 def sets_of(docs: DataFrame, wanted: bytes) -> DataFrame:
@@ -195,12 +233,17 @@ def repeated(docs: DataFrame, percent: int = 75) -> DataFrame:
     once. Whole texts are read; an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    shared = cut(links.shared_keys(band_keys(docs, blocks), blocks, percent / 100))
+    # every word has a window: more blocks than partitions elsewhere keep tasks small
+    blocks = 4 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    met = cut(links.shared_keys(first_scan(docs, blocks), blocks, percent / 100))
+    shared, often = met.filter("key is not null"), met.filter("key is null").select("id")
     labels = links.linked(shared, lambda ids: sets_of(docs, links.id_filter(ids, "id")), percent, blocks, False)
-    # a class repeats by a link to another one, or by occurring twice itself
-    wanted = links.id_filter(labels.select("id").unionByName(_often(docs)), "id")
-    found = occurrences(docs, wanted)
+    # a paragraph or window repeats by occurring twice itself, a paragraph also by a link to another one
+    wanted = links.id_filter(_short(labels, blocks).unionByName(often), "id")
+    found = cut(last_scan(docs, wanted, blocks))
+    drop(met)
+    runs = shared_runs(found.filter("doc_id is null").select("block", "rows"), blocks)
+    found = found.filter("doc_id is not null").drop("block", "rows")
     places = found.dropDuplicates(["doc_id", "number"]).join(labels, "id", "left")
     places = places.withColumn("class_id", F.coalesce("component", "id")).drop("component", "id")
     groups = places.groupBy("class_id").agg(
@@ -218,7 +261,13 @@ def repeated(docs: DataFrame, percent: int = 75) -> DataFrame:
         "doc_id", "number", "start", "n_words", "class_id", F.col("_first.doc_id").alias("first_doc"), (~stays).alias("removed")
     )
     rows = cut(rows)
-    return rows.unionByName(_outside(shared_runs(docs, blocks), rows))
+    return rows.unionByName(_outside(runs, rows))
+
+
+def _short(ids: DataFrame, blocks: int) -> DataFrame:
+    """The short names of ids, as links.short_names() gives them."""
+    block = F.shiftright(F.shiftrightunsigned("id", 32).bitwiseAND(0xFFFF) * blocks, 16)
+    return ids.select(F.shiftleft(block, 32).bitwiseOR(F.col("id").bitwiseAND(0xFFFFFFFF)).alias("id"))
 
 
 def _outside(runs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -237,11 +286,11 @@ def _outside(runs: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def _windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, text, first word) of every window of MIN_RUN words."""
-    h, counts = links.word_hashes(texts)
+    h, counts = u.h, u.counts
     n = np.maximum(counts - MIN_RUN + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), n)
+    owner = np.repeat(np.arange(len(counts)), n)
     pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     if not len(pos):
         return np.zeros(0, np.int64), owner, pos
@@ -280,39 +329,15 @@ def _unpacked(batches, kind) -> Iterator[np.ndarray]:
         yield np.frombuffer(b"".join(blobs.pop(k)), kind)
 
 
-def shared_runs(docs: DataFrame, blocks: int) -> DataFrame:
+def shared_runs(placed: DataFrame, blocks: int) -> DataFrame:
     """doc_id, start, n_words, class_id, first_doc, removed: runs of words all of whose windows of
     MIN_RUN words stand in documents of two different ids. Windows meet by id, so no pair is formed.
 
-    A filter of the ids that occur twice lets most windows stay at home; the rest travel packed, to
-    the block of their id and then to the block of their document. A run ends where the first
-    occurrences move to another document, or where the run itself becomes the first occurrence.
+    placed has the packed places of the windows that a filter lets pass: those that occur once stay
+    at home. The others travel to the block of their id and then to the block of their document. A
+    run ends where the first occurrences move to another document, or where the run itself becomes
+    the first occurrence.
     """
-    blocks *= 4  # every word has a window: smaller blocks keep tasks small
-    wanted = links.id_filter(_often(docs, lambda texts: _windows(texts)[0], blocks), "id")
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def make():
-        blob, wait = shared.value, []
-
-        def pour():
-            if wait:
-                rows = np.concatenate(wait)
-                wait.clear()
-                yield from _packed(rows, "id", blocks)
-
-        def each(values, carried):
-            ids, owner, pos = _windows(values)
-            ok = np.flatnonzero(links.passes(blob, ids)) if len(ids) else []
-            if len(ok):
-                rows = np.empty(len(ok), _PLACE)
-                rows["id"], rows["pos"] = ids[ok], pos[ok]
-                rows["doc"] = carried[0].cast(pa.int64()).to_numpy(zero_copy_only=False)[owner[ok]]
-                wait.append(rows)
-                if sum(map(len, wait)) > 250_000:
-                    yield from pour()
-
-        return each, pour
 
     def meet(batches):
         for rows in _unpacked(batches, _PLACE):
@@ -356,50 +381,6 @@ def shared_runs(docs: DataFrame, blocks: int) -> DataFrame:
                     names=["doc_id", "start", "n_words", "class_id", "first_doc", "removed"],
                 )
 
-    placed = links.map_sets(docs, "text", make, _PACKED, ["doc_id"])
-    met = placed.repartition(blocks, "block").mapInArrow(meet, _PACKED)
-    return met.repartition(blocks, "block").mapInArrow(join, "doc_id long, start long, n_words long, class_id long, first_doc long, removed boolean")
-
-
-def _often(docs: DataFrame, ids_of: Callable = lambda texts: Units(texts).ids, blocks: int = 0) -> DataFrame:
-    """Classes that occur twice or more: exact copies. Ids travel as sorted 64-bit blocks, one copy
-    for each document of a task, and meet by block."""
-    blocks = blocks or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-
-    def make():
-        wait: list[np.ndarray] = []
-
-        def pour():
-            if wait:
-                ids = np.sort(np.concatenate(wait).view(U))
-                wait.clear()
-                block = (mix64(ids) >> U(40)) % U(blocks)
-                order = np.argsort(block, kind="stable")
-                ids, block = ids[order], block[order]
-                cuts = np.flatnonzero(np.diff(block)) + 1
-                heads = block[np.concatenate([[0], cuts]).astype(int)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(heads.astype(np.int32)), pa.array([x.tobytes() for x in np.split(ids, cuts)], pa.binary())], names=["block", "ids"]
-                )
-
-        def each(values, _):
-            ids = ids_of(values)
-            if len(ids):
-                # at most two of an id: more tell nothing new
-                i, n = np.unique(ids, return_counts=True)
-                wait.append(np.repeat(i, np.minimum(n, 2)))
-                if sum(map(len, wait)) > 1_000_000:
-                    yield from pour()
-
-        return each, pour
-
-    def twice(batches):
-        blobs: dict[int, list[bytes]] = {}
-        for b in batches:
-            for k, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                blobs.setdefault(k, []).append(ids)
-        for k in sorted(blobs):
-            i, n = np.unique(np.frombuffer(b"".join(blobs.pop(k)), np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(i[n > 1])], names=["id"])
-
-    return links.map_sets(docs, "text", make, "block int, ids binary").repartition(blocks, "block").mapInArrow(twice, "id long")
+    met = placed.repartition(blocks, "block").mapInArrow(tidy(meet), _PACKED)
+    found = "doc_id long, start long, n_words long, class_id long, first_doc long, removed boolean"
+    return met.repartition(blocks, "block").mapInArrow(tidy(join), found)
