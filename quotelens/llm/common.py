@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -39,14 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
 _open: list[list[tuple]] = [[]]
 
 
-def cut(df: DataFrame, stays: bool = False) -> DataFrame:
+def cut(df: DataFrame, stays: bool = False, frees: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, so that a lost
     executor costs a read and not a recomputation. What drop() or a scope has not deleted by the
-    end of the driver's process is deleted then; with stays, the innermost scope leaves it alone."""
+    end of the driver's process is deleted then; with stays, the innermost scope leaves it alone.
+    With frees, the driver collects its garbage, so that Spark deletes the shuffle files of what is written
+    by now; else they stay on the executors' disks until that happens by chance."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path  # for drop()
+    if frees:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     if not any(_open):
         atexit.register(_sweep)
     _open[max(-len(_open), -2 if stays else -1)].append((df.sparkSession, path))
@@ -89,8 +95,6 @@ def scope():
 def give_back() -> None:
     """Return freed memory to the system: workers are used again by later stages, and what their
     allocators keep would count in all of them."""
-    import gc
-
     import pyarrow as pa
 
     gc.collect()

@@ -153,8 +153,8 @@ def linked_sets(docs: DataFrame, k: int = 5, percent: int = 75, carry: list[str]
     total = rows.filter("id is not null").agg(F.approx_count_distinct("id")).first()[0]
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     written = write_prefixes(docs, sketch, total, k, percent, blocks)
-    shared = cut(links.shared_keys(written, blocks, percent / 100))
-    labels = links.linked(shared, lambda ids: links.sets_of(docs, "text", links.id_filter(ids, "id"), k), percent, blocks, True)
+    shared = cut(links.shared_keys(written, blocks, percent / 100), frees=True)
+    labels = links.linked(shared, lambda ids: links.sets_of(docs, "text", links.id_filter(ids, "id"), k), percent, blocks)
     drop(shared)
     return rows, labels
 

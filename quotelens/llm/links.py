@@ -210,8 +210,8 @@ def passes(blob: bytes, ids: np.ndarray) -> np.ndarray:
 
 # --- keys ----------------------------------------------------------------------------------------
 
-KEY_SCHEMA = "block int, key binary, doc binary, pos binary, id binary, n binary, need binary, rare binary, sig binary"
-_KEY_NAMES = ["block", "key", "doc", "pos", "id", "n", "need", "rare", "sig"]
+KEY_SCHEMA = "block int, key binary, doc binary, pos binary, id binary, n binary, need binary, rare binary"
+_KEY_NAMES = ["block", "key", "doc", "pos", "id", "n", "need", "rare"]
 
 
 class KeyWriter:
@@ -219,8 +219,8 @@ class KeyWriter:
 
     Inside a block, a key is 32 bits of its hash and a class is a number in a small table, so a
     posting takes 8 bytes. Two keys that meet in those bits only add candidates. pos is a key's
-    place in the class's order of keys; rare (0 to 255) is the share of its set that is rare; sig, for
-    classes of small sets, has the bits of signature().
+    place in the class's order of keys; rare (0 to 255) is the share of its set that is rare. Classes of
+    add_many() have unordered keys, and neither pos, need nor rare is written.
     """
 
     def __init__(self, blocks: int, most: int = 600_000):
@@ -228,7 +228,7 @@ class KeyWriter:
         self._clear()
 
     def _clear(self):
-        self.keys, self.docs, self.pos, self.ids, self.ns, self.needs, self.rare, self.sig, self.size = [], [], [], [], [], [], [], [], 0
+        self.keys, self.docs, self.pos, self.ids, self.ns, self.needs, self.rare, self.size = [], [], [], [], [], [], [], 0
 
     def add(self, sid: int, n: int, need: int, rare: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         if self.size + len(keys) > self.most or len(self.ids) == 65_535:
@@ -242,8 +242,8 @@ class KeyWriter:
         self.rare.append(rare)
         self.size += len(keys)
 
-    def add_many(self, ids: np.ndarray, ns: np.ndarray, keys: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Classes with a row of unordered keys each, a need of 1 and a signature."""
+    def add_many(self, ids: np.ndarray, ns: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Classes with a row of unordered keys each; a writer takes these or those of add()."""
         for a in range(0, len(ids), 30_000):
             s = slice(a, a + 30_000)
             part = keys[s]
@@ -251,22 +251,19 @@ class KeyWriter:
                 yield from self.flush()
             self.docs.append(np.repeat(np.arange(len(self.ids), len(self.ids) + len(part)), part.shape[1]).astype(np.uint16))
             self.keys.append(part.reshape(-1))
-            self.pos.append(np.zeros(part.size, np.uint16))
             self.ids += ids[s].tolist()
             self.ns += ns[s].tolist()
-            self.needs += [1] * len(part)
-            self.rare += [0] * len(part)
-            self.sig += sig[s].tolist()
             self.size += part.size
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.ids:
             return
-        keys, docs, pos = np.concatenate(self.keys), np.concatenate(self.docs), np.concatenate(self.pos)
+        keys, docs = np.concatenate(self.keys), np.concatenate(self.docs)
+        pos = np.concatenate(self.pos) if self.pos else np.zeros((len(keys), 0), np.uint16)
         block = ((keys >> U(40)) % U(self.blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         keys, docs, pos, block = keys[order].astype(np.uint32), docs[order], pos[order], block[order]
-        table = [np.array(x, t) for x, t in ((self.ids, np.int64), (self.ns, np.uint32), (self.needs, np.uint8), (self.rare, np.uint8), (self.sig, np.int64))]
+        table = [np.array(x, t) for x, t in ((self.ids, np.int64), (self.ns, np.uint32), (self.needs, np.uint8), (self.rare, np.uint8))]
         cuts = np.flatnonzero(np.diff(block)) + 1
         rows = []
         for lo, hi in zip(np.concatenate([[0], cuts]).tolist(), np.append(cuts, len(block)).tolist()):
@@ -289,24 +286,25 @@ def _shared(blobs: list[tuple], least: float) -> tuple[np.ndarray, ...] | None:
     The leader is the key's class with the smallest rare share (a copy with the fewest changes of
     its own) if the sizes allow a match, else the key's first class that is large enough.
     """
-    cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-    for key, doc, pos, sid, n, need, rare, sig in blobs:
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for key, doc, pos, sid, n, need, rare in blobs:
         d = np.frombuffer(doc, np.uint16)
-        bits = np.frombuffer(sig, np.int64)[d] if sig else np.full(len(d), -1, np.int64)
-        parts = (np.frombuffer(key, np.uint32), np.frombuffer(sid, np.int64)[d], np.frombuffer(n, np.uint32)[d], np.frombuffer(need, np.uint8)[d], np.frombuffer(pos, np.uint16), np.frombuffer(rare, np.uint8)[d], bits)
+        plain = [np.full(len(d), x, t) for x, t in ((1, np.uint8), (0, np.uint16), (0, np.uint8))]
+        more = plain if not need else [np.frombuffer(need, np.uint8)[d], np.frombuffer(pos, np.uint16), np.frombuffer(rare, np.uint8)[d]]
+        parts = (np.frombuffer(key, np.uint32), np.frombuffer(sid, np.int64)[d], np.frombuffer(n, np.uint32)[d], *more)
         for c, x in zip(cols, parts):
             c.append(x)
-    keys, ids, ns, needs, pos, rare, sig = map(np.concatenate, cols)
+    keys, ids, ns, needs, pos, rare = map(np.concatenate, cols)
     cols.clear()
     order = np.lexsort((ids, ns, keys))
-    keys, ids, ns, needs, pos, rare, sig = (x[order] for x in (keys, ids, ns, needs, pos, rare, sig))
+    keys, ids, ns, needs, pos, rare = (x[order] for x in (keys, ids, ns, needs, pos, rare))
     keep = np.ones(len(keys), bool)  # a class may come from several tasks
     keep[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
     group = np.cumsum(np.diff(keys.astype(np.int64), prepend=-1) != 0) - 1
     keep &= np.bincount(group, weights=keep)[group] > 1
     if not keep.any():
         return None
-    keys, ids, ns, needs, pos, rare, sig = (x[keep] for x in (keys, ids, ns, needs, pos, rare, sig))
+    keys, ids, ns, needs, pos, rare = (x[keep] for x in (keys, ids, ns, needs, pos, rare))
     group = np.cumsum(np.diff(keys.astype(np.int64), prepend=-1) != 0) - 1
     first = np.flatnonzero(np.diff(group, prepend=-1))
     clean = np.lexsort((np.arange(len(keys)), rare, group))[first][group]
@@ -314,11 +312,11 @@ def _shared(blobs: list[tuple], least: float) -> tuple[np.ndarray, ...] | None:
     wanted = (group.astype(np.int64) << 32) | np.ceil(ns * least - 1e-9).astype(np.int64)
     large_enough = np.searchsorted(place, wanted)
     fits = np.minimum(ns, ns[clean]) >= np.maximum(ns, ns[clean]) * least - 1e-9
-    return keys, ids, ns, needs, pos, sig, np.where(fits, clean, large_enough)
+    return keys, ids, ns, needs, pos, np.where(fits, clean, large_enough)
 
 
 def shared_keys(written: DataFrame, blocks: int, least: float) -> DataFrame:
-    """key, id, n, need, pos, sig, leader (null for a leader) of all postings whose key has several classes.
+    """key, id, n, need, pos, leader (null for a leader) of all postings whose key has several classes.
 
     Rows without classes (a null id) hold short names of one block, see short_names(); of those that
     come twice or more there is a row with a null key and the name as id.
@@ -346,20 +344,20 @@ def shared_keys(written: DataFrame, blocks: int, least: float) -> DataFrame:
             got = _shared(blobs.pop(block), least)
             if got is None:
                 continue
-            keys, ids, ns, needs, pos, sig, leader = got
+            keys, ids, ns, needs, pos, leader = got
             whole = (np.int64(block) << 32) | keys.astype(np.int64)
             own = leader == np.arange(len(ids))
             for a in range(0, len(ids), 50_000):
                 s = slice(a, a + 50_000)
-                cols = [whole[s], ids[s], ns[s].astype(np.int64), needs[s].astype(np.int32), pos[s].astype(np.int32), sig[s]]
+                cols = [whole[s], ids[s], ns[s].astype(np.int64), needs[s].astype(np.int32), pos[s].astype(np.int32)]
                 arrays = [pa.array(c, t) for c, t in zip(cols, _SHARED)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(ids[leader[s]], pa.int64(), mask=own[s])], names=_SHARED_NAMES)
 
-    return written.repartition(blocks, "block").mapInArrow(tidy(run), "key long, id long, n long, need int, pos int, sig long, leader long")
+    return written.repartition(blocks, "block").mapInArrow(tidy(run), "key long, id long, n long, need int, pos int, leader long")
 
 
-_SHARED_NAMES = ["key", "id", "n", "need", "pos", "sig", "leader"]
-_SHARED = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+_SHARED_NAMES = ["key", "id", "n", "need", "pos", "leader"]
+_SHARED = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
 
 def short_names(ids: np.ndarray, blocks: int) -> np.ndarray:
@@ -380,7 +378,7 @@ def name_rows(names: np.ndarray) -> Iterator[pa.RecordBatch]:
         part = blobs[a : a + 16]
         none = pa.nulls(len(part), pa.binary())
         at = pa.array(block[heads[a : a + 16]].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([at, pa.array(part, pa.binary()), *[none] * 7], names=_KEY_NAMES)
+        yield pa.RecordBatch.from_arrays([at, pa.array(part, pa.binary()), *[none] * 6], names=_KEY_NAMES)
 
 
 # --- tests and components --------------------------------------------------------------------------
@@ -449,17 +447,19 @@ SLACK = 2
 _CLASS = ("id", "n", "need", "c", "g", "reach", "rest", "hub", "common", "sig")
 
 
-def _facts(shared: DataFrame, percent: int, ordered: bool) -> DataFrame:
-    """id, n, need, reach, rest, sig of each class that shares a key.
+def _facts(shared: DataFrame, percent: int, signatures: DataFrame | None) -> DataFrame:
+    """id, n, need, reach, rest, sig of each class that shares a key. Without signatures the keys are
+    prefixes, and sig has all bits, which says nothing; with them the keys have no order.
 
     reach bounds what a class shares with any other: a key in its prefix that nobody else has is
     shared with nobody, so of the n elements only the shared keys and those behind the prefix
     (rest of them) count, and none before its first shared key.
     """
     facts = shared.groupBy("id").agg(
-        F.max("n").alias("n"), F.max("need").alias("need"), F.min("pos").alias("_pos"), F.count("*").alias("_keys"), F.first("sig").alias("sig")
+        F.max("n").alias("n"), F.max("need").alias("need"), F.min("pos").alias("_pos"), F.count("*").alias("_keys")
     )
-    n = F.col("n")
+    n, ordered = F.col("n"), signatures is None
+    facts = facts.withColumn("sig", F.lit(-1).cast("long")) if ordered else facts.join(signatures, "id")
     facts = facts.withColumn("rest", F.ceil(n * percent / 100).cast("long") - F.col("need") if ordered else n)
     reach = F.least(n - F.col("_pos"), F.col("rest") + F.col("_keys") + SLACK) if ordered else n
     return facts.withColumn("reach", reach).drop("_pos", "_keys")
@@ -471,7 +471,7 @@ def _worth_a_test(best: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     both = best.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     total, more = (F.col("n_a") + F.col("n_b")) * percent, 100 + percent
     own = lambda x, y: F.col(f"n_{x}") - F.bit_count(F.col(f"sig_{x}").bitwiseAND(F.bitwise_not(f"sig_{y}")))
-    most = F.least("reach_a", "reach_b", own("a", "b"), own("b", "a"), F.greatest("n_a", "n_b") - 1)
+    most = F.least("reach_a", "reach_b", own("a", "b"), own("b", "a"))
     return both.filter(total <= most * more).select("a", "b")
 
 
@@ -498,10 +498,10 @@ def _can_link(x: dict, i, j, percent: int) -> np.ndarray:
     inside = np.minimum(x["common"][i], x["common"][j])
     outside = np.minimum(x["n"][i] - x["common"][i], x["n"][j] - x["common"][j])
     ok &= (x["hub"][i] != x["hub"][j]) | (inside < 0) | (total <= (inside + outside) * more)
-    # an element whose bit the other class lacks is not shared; equal sets are one class
+    # an element whose bit the other class lacks is not shared
     own_i = np.bitwise_count(x["sig"][i] & ~x["sig"][j]).astype(np.int64)
     own_j = np.bitwise_count(x["sig"][j] & ~x["sig"][i]).astype(np.int64)
-    most = np.minimum(np.minimum(x["n"][i] - own_i, x["n"][j] - own_j), high - 1)
+    most = np.minimum(x["n"][i] - own_i, x["n"][j] - own_j)
     return ok & (total <= most * more)
 
 
@@ -657,14 +657,15 @@ def _counted(wait: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(least[at]), pa.array(k)], names=["a", "b", "least", "k"])
 
 
-def linked(shared: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, blocks: int, ordered: bool) -> DataFrame:
+def linked(
+    shared: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, blocks: int, signatures: DataFrame | None = None
+) -> DataFrame:
     """id, component of the classes that links join: the two rounds of the module's account.
 
-    sets gives (id, set) of at least the classes of its one-column argument; each round scans for
-    the sets that it tests, which costs less than keeping all of them on disk. ordered: see
-    crossing_pairs().
+    sets gives (id, set) of at least the classes of its one-column argument. The keys are prefixes,
+    or, where signatures gives (id, sig), just keys.
     """
-    facts = cut(_facts(shared, percent, ordered))
+    facts = cut(_facts(shared, percent, signatures))
     votes = shared.filter("leader is not null").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("k"))
     best = cut(votes.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")))
     tests = cut(_worth_a_test(best, facts, percent))

@@ -31,6 +31,8 @@ BANDS, ROWS = 6, 2
 K = 5
 #: Words of a paragraph that is compared; of a run that is reported; of a gap inside a run.
 MIN_UNIT, MIN_RUN, GAP = 6, 20, 8
+#: Different shingles that a paragraph needs so that an unequal set can be similar to it.
+LEAST = 3
 #: One word in so many ends a paragraph without being the end of a sentence.
 CUT = 32
 
@@ -71,7 +73,8 @@ class Units:
         self._shingles(h)
 
     def _shingles(self, h: np.ndarray) -> None:
-        """Sorted distinct shingles of all units in a row, and where each unit's begin; ids."""
+        """Shingles of all units in a row, in text order, and where each unit's begin; n, the number of
+        different ones; ids."""
         if not len(self.first):
             self.g, self.at, self.n, self.ids = np.zeros(0, U), np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int64)
             return
@@ -81,34 +84,32 @@ class Units:
                 g = g * U(0xBF58476D1CE4E5B9) + h[i : len(h) - K + 1 + i]
             g = mix64(g)
             n = self.size - K + 1
+            self.at = np.cumsum(n) - n
             owner = np.repeat(np.arange(len(n)), n)
-            where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.first[owner]
-            g = g[where]
-            order = np.lexsort((g, owner))
-            g, owner = g[order], owner[order]
-            new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
-            self.g, owner = g[new], owner[new]
-            self.at = np.flatnonzero(np.diff(owner, prepend=-1))
-            self.n = np.diff(np.append(self.at, len(owner)))
+            self.g = g[np.arange(len(owner)) + (self.first - self.at)[owner]]
+            # one sort of plain numbers tells repeats; a piece has fewer than 2^20 units
+            marks = np.sort(owner.astype(U) << U(44) | self.g >> U(20))
+            again = (marks[1:][marks[1:] == marks[:-1]] >> U(44)).astype(np.int64)
+            self.n = n - np.bincount(again, minlength=len(n))
+            # a class is a set with its repeats: equal sets with other repeats meet in all bands
             sums = np.add.reduceat(mix64(self.g + U(0x632BE59BD9B4E019)), self.at)
-            self.ids = mix64(sums + self.n.astype(U)).astype(np.int64)
+            self.ids = mix64(sums + n.astype(U)).astype(np.int64)
+            self.ends = self.at + n
 
-    def keys(self) -> np.ndarray:
-        """Band keys, one row a unit."""
+    def keys(self, which: np.ndarray) -> np.ndarray:
+        """Band keys, one row for each of the units `which`."""
         out = np.zeros((len(self.ids), BANDS), U)
         with np.errstate(over="ignore"):
             for b in range(BANDS):
                 key = np.full(len(self.ids), U(b + 1))
                 for r in range(ROWS):
-                    c = mix64(np.array([b * ROWS + r + 1], U))[0]
-                    low = np.minimum.reduceat(mix64(self.g ^ c), self.at)
-                    key = mix64(key * U(0xBF58476D1CE4E5B9) + low)
+                    c = mix64(np.array([b * ROWS + r + 1], U))[0] | U(1)
+                    key = mix64(key * U(0xBF58476D1CE4E5B9) + np.minimum.reduceat(self.g * c, self.at))
                 out[:, b] = key
-        return out
+        return out[which]
 
     def set(self, i: int) -> np.ndarray:
-        return self.g[self.at[i] : self.at[i] + self.n[i]]
+        return np.unique(self.g[self.at[i] : self.ends[i]])
 
 
 def _new(ids: np.ndarray, seen: set) -> np.ndarray:
@@ -122,8 +123,8 @@ def _new(ids: np.ndarray, seen: set) -> np.ndarray:
 
 
 def first_scan(docs: DataFrame, blocks: int) -> DataFrame:
-    """Band keys of all paragraph classes, and the short names of all paragraphs and windows, at most
-    two of a name from one batch (more tell nothing new): one scan of the texts gives both."""
+    """Band keys of all paragraph classes, and the short names of all paragraphs and of the windows'
+    marks, at most two of a name from one batch (more tell nothing new): one scan gives both."""
 
     def make():
         out, seen, wait = links.KeyWriter(blocks, 300_000), set(), []
@@ -138,9 +139,10 @@ def first_scan(docs: DataFrame, blocks: int) -> DataFrame:
             u = Units(values)
             if len(u.ids):
                 at = _new(u.ids, seen)
+                at = at[(u.n[at] >= LEAST) | (u.n[at] < (u.ends - u.at)[at])]
                 if len(at):
-                    yield from out.add_many(u.ids[at], u.n[at], u.keys()[at], links.signature(u.g, u.at)[at])
-            for ids in (u.ids, _windows(u)[0]):
+                    yield from out.add_many(u.ids[at], u.n[at], u.keys(at))
+            for ids in (u.ids, _marks(_windows(u))):
                 names = np.sort(links.short_names(ids, blocks))
                 third = np.zeros(len(names), bool)
                 third[2:] = names[2:] == names[:-2]
@@ -182,8 +184,8 @@ def last_scan(docs: DataFrame, wanted: bytes, blocks: int) -> DataFrame:
                 doc = doc_ids.take(pa.array(u.doc[ok]))
                 cols = [pa.array(x[ok].astype(np.int64)) for x in (u.number, u.start, u.size, u.ids)]
                 yield pa.RecordBatch.from_arrays([doc, *cols, pa.nulls(len(ok), pa.int32()), pa.nulls(len(ok), pa.binary())], names=names)
-            ids, owner, pos = _windows(u)
-            ok = np.flatnonzero(links.passes(blob, links.short_names(ids, blocks))) if len(ids) else []
+            ids, mark, owner, pos = _windows(u)
+            ok = np.flatnonzero(links.passes(blob, links.short_names(mark, blocks))) if len(ids) else []
             if len(ok):
                 rows = np.empty(len(ok), _PLACE)
                 rows["id"], rows["pos"] = ids[ok], pos[ok]
@@ -198,7 +200,7 @@ def last_scan(docs: DataFrame, wanted: bytes, blocks: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: bytes) -> DataFrame:
-    """id, set (packed) of the paragraph classes that pass the filter, each once."""
+    """id, set (packed), sig of the paragraph classes that pass the filter, each once."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def make():
@@ -210,13 +212,14 @@ def sets_of(docs: DataFrame, wanted: bytes) -> DataFrame:
             if len(ok):
                 at = ok[_new(u.ids[ok], seen)]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(u.ids[at]), pa.array([links.pack(u.set(i)) for i in at.tolist()], pa.binary())], names=["id", "set"]
-                    )
+                    sig = links.signature(u.g, u.at)[at]
+                    packed = pa.array([links.pack(u.set(i)) for i in at.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(u.ids[at]), packed, pa.array(sig)], names=["id", "set", "sig"])
 
         return each, lambda: iter(())
 
-    return links.map_sets(docs, "text", make, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
+    found = links.map_sets(docs, "text", make, "id long, set binary, sig long")
+    return found.groupBy("id").agg(F.first("set").alias("set"), F.first("sig").alias("sig"))
 
 
 def repeated(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -235,13 +238,15 @@ def repeated(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     # every word has a window: more blocks than partitions elsewhere keep tasks small
     blocks = 4 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    met = cut(links.shared_keys(first_scan(docs, blocks), blocks, percent / 100))
+    met = cut(links.shared_keys(first_scan(docs, blocks), blocks, percent / 100), frees=True)
     shared, often = met.filter("key is not null"), met.filter("key is null").select("id")
-    labels = links.linked(shared, lambda ids: sets_of(docs, links.id_filter(ids, "id")), percent, blocks, False)
+    # paragraphs are small, so the sets of all that share a key are kept: one scan serves both rounds
+    sets = cut(sets_of(docs, links.id_filter(shared.select("id").distinct(), "id")), frees=True)
+    labels = links.linked(shared, lambda _: sets.select("id", "set"), percent, blocks, sets.select("id", "sig"))
     # a paragraph or window repeats by occurring twice itself, a paragraph also by a link to another one
     wanted = links.id_filter(_short(labels, blocks).unionByName(often), "id")
-    found = cut(last_scan(docs, wanted, blocks))
-    drop(met)
+    found = cut(last_scan(docs, wanted, blocks), frees=True)
+    drop(met, sets)
     runs = shared_runs(found.filter("doc_id is null").select("block", "rows"), blocks)
     found = found.filter("doc_id is not null").drop("block", "rows")
     places = found.dropDuplicates(["doc_id", "number"]).join(labels, "id", "left")
@@ -286,20 +291,46 @@ def _outside(runs: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def _windows(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, text, first word) of every window of MIN_RUN words."""
+#: Words of a gram; of the grams of a window, the least one marks it.
+GRAM = 10
+
+
+def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every n words in a row."""
+    with np.errstate(over="ignore"):
+        g = np.zeros(max(len(h) - n + 1, 0), U)
+        for i in range(n if len(g) else 0):
+            g = g * U(0xBF58476D1CE4E5B9) + h[i : len(h) - n + 1 + i]
+        return mix64(g)
+
+
+def _windows(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, mark, text, first word) of every window of MIN_RUN words.
+
+    Equal windows have equal marks, and neighbours mostly share theirs. So marks tell which windows
+    may come twice, at a fraction of the names.
+    """
     h, counts = u.h, u.counts
     n = np.maximum(counts - MIN_RUN + 1, 0)
     owner = np.repeat(np.arange(len(counts)), n)
     pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     if not len(pos):
-        return np.zeros(0, np.int64), owner, pos
-    with np.errstate(over="ignore"):
-        g = np.zeros(len(h) - MIN_RUN + 1, U)
-        for i in range(MIN_RUN):
-            g = g * U(0xBF58476D1CE4E5B9) + h[i : len(h) - MIN_RUN + 1 + i]
-        g = mix64(g[(np.cumsum(counts) - counts)[owner] + pos])
-    return g.astype(np.int64), owner, pos
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), owner, pos
+    at = (np.cumsum(counts) - counts)[owner] + pos
+    low, width = _rolled(h, GRAM), 1
+    while width < MIN_RUN - GRAM + 1:  # the least of `width` grams in a row
+        step = min(width, MIN_RUN - GRAM + 1 - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    return _rolled(h, MIN_RUN)[at].astype(np.int64), low[at].astype(np.int64), owner, pos
+
+
+def _marks(windows: tuple) -> np.ndarray:
+    """The marks of windows, once for windows of one text in a row that share it."""
+    _, mark, owner, _ = windows
+    if not len(mark):
+        return mark
+    return mark[np.concatenate([[True], (mark[1:] != mark[:-1]) | (owner[1:] != owner[:-1])])]
 
 
 _PLACE = np.dtype([("id", "<i8"), ("doc", "<i8"), ("pos", "<u4")])
