@@ -214,6 +214,12 @@ KEY_SCHEMA = "block int, key binary, doc binary, pos binary, id binary, n binary
 _KEY_NAMES = ["block", "key", "doc", "pos", "id", "n", "need", "rare"]
 
 
+def by_block(block: np.ndarray) -> np.ndarray:
+    """The order of ascending blocks; numbers of 16 bits are sorted by radix."""
+    small = not len(block) or int(block.max()) < 65_536
+    return np.argsort(block.astype(np.uint16) if small else block, kind="stable")
+
+
 class KeyWriter:
     """Gathers (key, class) in a task and writes them by block of keys.
 
@@ -261,7 +267,7 @@ class KeyWriter:
         keys, docs = np.concatenate(self.keys), np.concatenate(self.docs)
         pos = np.concatenate(self.pos) if self.pos else np.zeros((len(keys), 0), np.uint16)
         block = ((keys >> U(40)) % U(self.blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
+        order = by_block(block)
         keys, docs, pos, block = keys[order].astype(np.uint32), docs[order], pos[order], block[order]
         table = [np.array(x, t) for x, t in ((self.ids, np.int64), (self.ns, np.uint32), (self.needs, np.uint8), (self.rare, np.uint8))]
         cuts = np.flatnonzero(np.diff(block)) + 1

@@ -79,10 +79,7 @@ class Units:
             self.g, self.at, self.n, self.ids = np.zeros(0, U), np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int64)
             return
         with np.errstate(over="ignore"):
-            g = np.zeros(len(h) - K + 1, U)
-            for i in range(K):
-                g = g * U(0xBF58476D1CE4E5B9) + h[i : len(h) - K + 1 + i]
-            g = mix64(g)
+            g = _rolled(h, K)
             n = self.size - K + 1
             self.at = np.cumsum(n) - n
             owner = np.repeat(np.arange(len(n)), n)
@@ -142,7 +139,8 @@ def first_scan(docs: DataFrame, blocks: int) -> DataFrame:
                 at = at[(u.n[at] >= LEAST) | (u.n[at] < (u.ends - u.at)[at])]
                 if len(at):
                     yield from out.add_many(u.ids[at], u.n[at], u.keys(at))
-            for ids in (u.ids, _marks(_windows(u))):
+            mark, owner, *_ = _windows(u)
+            for ids in (u.ids, mark[_heads(mark, owner)]):
                 names = np.sort(links.short_names(ids, blocks))
                 third = np.zeros(len(names), bool)
                 third[2:] = names[2:] == names[:-2]
@@ -184,11 +182,13 @@ def last_scan(docs: DataFrame, wanted: bytes, blocks: int) -> DataFrame:
                 doc = doc_ids.take(pa.array(u.doc[ok]))
                 cols = [pa.array(x[ok].astype(np.int64)) for x in (u.number, u.start, u.size, u.ids)]
                 yield pa.RecordBatch.from_arrays([doc, *cols, pa.nulls(len(ok), pa.int32()), pa.nulls(len(ok), pa.binary())], names=names)
-            ids, mark, owner, pos = _windows(u)
-            ok = np.flatnonzero(links.passes(blob, links.short_names(mark, blocks))) if len(ids) else []
+            mark, owner, pos, at = _windows(u)
+            heads = _heads(mark, owner)
+            there = links.passes(blob, links.short_names(mark[heads], blocks)) if len(heads) else np.zeros(0, bool)
+            ok = np.flatnonzero(np.repeat(there, np.diff(np.append(heads, len(mark)))))
             if len(ok):
                 rows = np.empty(len(ok), _PLACE)
-                rows["id"], rows["pos"] = ids[ok], pos[ok]
+                rows["id"], rows["pos"] = _rolled(u.h, MIN_RUN)[at[ok]].astype(np.int64), pos[ok]
                 rows["doc"] = doc_ids.to_numpy(zero_copy_only=False)[owner[ok]]
                 wait.append(rows)
                 if sum(map(len, wait)) > 150_000:
@@ -237,7 +237,7 @@ def repeated(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     # every word has a window: more blocks than partitions elsewhere keep tasks small
-    blocks = 4 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    blocks = 2 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     met = cut(links.shared_keys(first_scan(docs, blocks), blocks, percent / 100), frees=True)
     shared, often = met.filter("key is not null"), met.filter("key is null").select("id")
     # paragraphs are small, so the sets of all that share a key are kept: one scan serves both rounds
@@ -296,41 +296,37 @@ GRAM = 10
 
 
 def _rolled(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of every n words in a row."""
+    """Hashes of every n words in a row: a polynomial over their hashes, got from prefix sums."""
+    if len(h) < n:
+        return np.zeros(0, U)
     with np.errstate(over="ignore"):
-        g = np.zeros(max(len(h) - n + 1, 0), U)
-        for i in range(n if len(g) else 0):
-            g = g * U(0xBF58476D1CE4E5B9) + h[i : len(h) - n + 1 + i]
-        return mix64(g)
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(h * links._power(links._B, len(h)), dtype=U)])
+        return mix64((sums[n:] - sums[:-n]) * links._power(links._B_INV, len(h))[: len(h) - n + 1])
 
 
 def _windows(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(id, mark, text, first word) of every window of MIN_RUN words.
+    """(mark, text, first word in the text, first word of all) of every window of MIN_RUN words.
 
     Equal windows have equal marks, and neighbours mostly share theirs. So marks tell which windows
     may come twice, at a fraction of the names.
     """
-    h, counts = u.h, u.counts
-    n = np.maximum(counts - MIN_RUN + 1, 0)
-    owner = np.repeat(np.arange(len(counts)), n)
+    n = np.maximum(u.counts - MIN_RUN + 1, 0)
+    owner = np.repeat(np.arange(len(n)), n)
     pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     if not len(pos):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), owner, pos
-    at = (np.cumsum(counts) - counts)[owner] + pos
-    low, width = _rolled(h, GRAM), 1
+        return np.zeros(0, np.int64), owner, pos, pos
+    at = (np.cumsum(u.counts) - u.counts)[owner] + pos
+    low, width = _rolled(u.h, GRAM), 1
     while width < MIN_RUN - GRAM + 1:  # the least of `width` grams in a row
         step = min(width, MIN_RUN - GRAM + 1 - width)
         low = np.minimum(low[:-step], low[step:])
         width += step
-    return _rolled(h, MIN_RUN)[at].astype(np.int64), low[at].astype(np.int64), owner, pos
+    return low[at].astype(np.int64), owner, pos, at
 
 
-def _marks(windows: tuple) -> np.ndarray:
-    """The marks of windows, once for windows of one text in a row that share it."""
-    _, mark, owner, _ = windows
-    if not len(mark):
-        return mark
-    return mark[np.concatenate([[True], (mark[1:] != mark[:-1]) | (owner[1:] != owner[:-1])])]
+def _heads(mark: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Where runs of windows of one text that share a mark begin."""
+    return np.flatnonzero(np.concatenate([[True], (mark[1:] != mark[:-1]) | (owner[1:] != owner[:-1])])) if len(mark) else np.zeros(0, int)
 
 
 _PLACE = np.dtype([("id", "<i8"), ("doc", "<i8"), ("pos", "<u4")])
@@ -341,7 +337,7 @@ _PACKED = "block int, rows binary"
 def _packed(rows: np.ndarray, by: str, blocks: int):
     """Records as one blob a block of the field `by`."""
     block = (mix64(rows[by].view(U) if rows[by].flags.c_contiguous else rows[by].copy().view(U)) >> U(40)) % U(blocks)
-    order = np.argsort(block, kind="stable")
+    order = links.by_block(block)
     rows, block = rows[order], block[order]
     cuts = np.flatnonzero(np.diff(block)) + 1
     heads = block[np.concatenate([[0], cuts]).astype(int)]
@@ -372,19 +368,19 @@ def shared_runs(placed: DataFrame, blocks: int) -> DataFrame:
 
     def meet(batches):
         for rows in _unpacked(batches, _PLACE):
-            rows = rows[np.lexsort((rows["pos"], rows["doc"], rows["id"]))]
-            new = np.ones(len(rows), bool)
-            new[1:] = rows["id"][1:] != rows["id"][:-1]
-            head = np.flatnonzero(new)
-            last = np.append(head[1:], len(rows)) - 1
-            group = np.cumsum(new) - 1
-            ok = (rows["doc"][head] != rows["doc"][last])[group]
+            ids = rows["id"].copy()
+            order = np.argsort(ids)
+            ids, doc, pos = ids[order], rows["doc"][order], rows["pos"][order]
+            head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            size = np.diff(np.append(head, len(ids)))
+            first, top = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
+            ok = np.repeat(first != top, size)
+            first = np.repeat(first, size)
+            at_first = np.where(doc == first, pos, np.uint32(0xFFFFFFFF))
+            stays = at_first == np.repeat(np.minimum.reduceat(at_first, head), size)
             out = np.empty(ok.sum(), _FOUND)
-            for f in ("id", "doc", "pos"):
-                out[f] = rows[f][ok]
-            first = head[group][ok]
-            out["first"] = rows["doc"][first]
-            out["stays"] = (rows["doc"][first] == out["doc"]) & (rows["pos"][first] == out["pos"])
+            for f, x in (("id", ids), ("doc", doc), ("pos", pos), ("first", first), ("stays", stays & (doc == first))):
+                out[f] = x[ok]
             if len(out):
                 yield from _packed(out, "doc", blocks)
 
