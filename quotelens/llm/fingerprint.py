@@ -22,9 +22,10 @@ from quotelens.llm.common import cut
 
 #: Words of an item; entries of a fingerprint; items of an entry.
 K, M, L = 2, 16, 2
-#: Bits for the position of an item: texts up to 16 million words keep exact order.
-POSITION_BITS = 24
-#: Consecutive ids that one window frame holds.
+#: Bits for the position of an item: texts up to 268 million words, which a row of Spark cannot exceed
+#: as an array of words, keep exact order.
+POSITION_BITS = 28
+#: Rows that one window frame holds, about; and runs that one frame of runs holds.
 RUN = 256
 
 
@@ -55,10 +56,13 @@ def following(runs: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, _run, _at, _next: the text of the next higher doc_id (of the lowest, after the highest).
 
-    Rows are dealt out by runs of RUN ids; the texts are shuffled once, and only the first text of
-    each run travels to the run before. Rows with equal ids follow each other in the order of text.
+    Rows are dealt out by runs of ids, as wide as holds RUN rows where ids are spread evenly, dense or
+    sparse; the texts are shuffled once, and only the first text of each run travels to the run
+    before. Rows with equal ids follow each other in the order of text.
     """
-    run = F.coalesce(F.floor(F.col("doc_id") / RUN), F.lit(-(1 << 56)))
+    id_ = F.col("doc_id").cast("double")
+    width = docs.agg(F.greatest(F.lit(1.0), (F.max(id_) - F.min(id_) + 1) * RUN / F.count("doc_id"))).first()[0] or 1.0
+    run = F.coalesce(F.floor(id_ / width), F.lit(-(1 << 56)))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), run.alias("_run"))
     first = base.groupBy("_run").agg(F.min(F.struct("doc_id", "text")).alias("_h"))
     heads = (

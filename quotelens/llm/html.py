@@ -2,15 +2,19 @@
 
 Each node of the page's tree has a composite density: its characters per tag, adjusted by how
 much of its text is in links, and by how that compares with the page's body. A node's density sum
-adds the densities of its children. The node with the greatest sum among those whose density
-reaches the threshold of their body path is the core; the main text is what the core's article
-says without the parts that are set aside (menus, adverts, forms, comments and the like).
+adds the densities of its children. The node below the body with the greatest sum is the core, and
+the least density on the path from the body to it is the threshold: around the core, what reaches
+the threshold belongs to the main text and what does not is left out. Lists of elements and names
+(menus, adverts, forms, comments and the like) set parts aside before; a list of names that would
+empty the page, or that holds the page's article, gives way.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from functools import cache
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -56,7 +60,8 @@ RAW = frozenset("script style textarea title noscript template iframe".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    # quotes delimit a value right after = only
+    r"|<([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*|))*)(?:>|\Z)",
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
@@ -64,41 +69,84 @@ _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: Why a node is set aside: not at all, by its class or id, or by what it is.
+STAYS, NAMED, ASIDE_ANYWAY, NO_TEXT = range(4)
+
+
 class Node:
     __slots__ = ("tag", "parent", "kids", "off", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, off: bool):
+    def __init__(self, tag: str, parent: Node | None, off: int = STAYS):
         self.tag, self.parent, self.off = tag, parent, off
         self.kids: list = []  # nodes and strings
+        self.clear()
+
+    def clear(self) -> None:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _set_aside(tag: str, attrs: str) -> bool:
-    """Whether an element is a part that is set aside."""
-    if tag in ASIDE or tag in SILENT:
-        return True
+def _set_aside(tag: str, attrs: str) -> int:
+    """Whether and why an element is a part that is set aside."""
+    if tag in SILENT:
+        return NO_TEXT
+    if tag in ASIDE:
+        return ASIDE_ANYWAY
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return STAYS
+    off = STAYS
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return ASIDE_ANYWAY
         if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not NOISE.isdisjoint(_NAME.findall(value)):
-            return True
+            return ASIDE_ANYWAY
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return ASIDE_ANYWAY
+        if name in ("class", "id") and not NOISE.isdisjoint(_NAME.findall(value)):
+            off = NAMED
+    return off
+
+
+class _Open:
+    """The elements that are open, with the places of each tag, so that no search walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+        self.scopes: list[int] = [0]
+        self.ends_p: list[int] = [0]
+
+    def push(self, x: Node) -> None:
+        k = len(self.stack)
+        self.stack.append(x)
+        self.at.setdefault(x.tag, []).append(k)
+        if x.tag in SCOPE:
+            self.scopes.append(k)
+        if x.tag in SCOPE or x.tag in _P_ENDERS:
+            self.ends_p.append(k)
+
+    def close(self, k: int) -> None:
+        """Close the element at place k and all that it holds."""
+        while len(self.stack) > k:
+            self.at[self.stack.pop().tag].pop()
+        for places in (self.scopes, self.ends_p):
+            while places[-1] >= k:
+                places.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else 0
 
 
 def parse(page: str) -> Node:
-    """The tree of a page. Unclosed elements end where HTML lets them; nothing is dropped."""
-    root = node = Node("#page", None, False)
+    """The tree of a page, in time linear in its length. Unclosed elements end where HTML lets them;
+    nothing is dropped."""
+    root = Node("#page", None)
+    opened = _Open(root)
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
+        node = opened.stack[-1]
         if m is None:
             node.kids.append(page[at:])
             break
@@ -109,55 +157,53 @@ def parse(page: str) -> Node:
             tag = m[1].lower()
             if tag in VOID:
                 if tag == "br":
-                    node.kids.append(Node("br", node, False))
+                    node.kids.append(Node("br", node))
                 continue
-            x = node
-            while x.parent is not None and x.tag != tag:
-                if x.tag in SCOPE and tag not in SCOPE:
-                    x = None
-                    break
-                x = x.parent
-            if x is not None and x.tag == tag:
-                node = x.parent
+            k = opened.last(tag)
+            if k and (tag in SCOPE or opened.scopes[-1] < k):
+                opened.close(k)
             elif tag == "p":
-                node.kids.append(Node("br", node, False))
+                node.kids.append(Node("br", node))
         elif m[2]:
             tag, attrs = m[2].lower(), m[3] or ""
-            if tag in _P_ENDERS:
-                x = node
-                while x.parent is not None and x.tag != "p" and x.tag not in SCOPE and x.tag not in _P_ENDERS:
-                    x = x.parent
-                if x.tag == "p":
-                    node = x.parent
+            if tag in _P_ENDERS and opened.stack[opened.ends_p[-1]].tag == "p":
+                opened.close(opened.ends_p[-1])
             if tag in IMPLIED:
-                close, stop = IMPLIED[tag]
-                x, last = node, None
-                while x.parent is not None and x.tag not in stop:
-                    if x.tag in close:
-                        last = x
-                    x = x.parent
-                if last is not None:
-                    node = last.parent
+                ended, stop = IMPLIED[tag]
+                floor = max(map(opened.last, stop))
+                found = [p[i] for t in ended if (p := opened.at.get(t)) and (i := bisect_right(p, floor)) < len(p)]
+                if found:
+                    opened.close(min(found))
+            node = opened.stack[-1]
             child = Node(tag, node, _set_aside(tag, attrs))
             node.kids.append(child)
             if tag in VOID or attrs.rstrip().endswith("/") and tag in SILENT:
                 continue
             if tag in RAW:  # the content of these is not markup
-                end = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I).search(page, at)
+                end = _raw_end(tag).search(page, at)
                 child.kids.append(page[at : end.start() if end else n])
                 at = end.end() if end else n
                 continue
-            node = child
+            opened.push(child)
     return root
 
 
+@cache
+def _raw_end(tag: str):
+    return re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I)
+
+
 def measure(root: Node) -> list[Node]:
     """Fill in characters, tags and densities from the leaves up; returns the nodes that are text,
-    parents first. What is set aside has no characters and is no node here."""
+    parents first. What is set aside has no characters and is no node here.
+
+    Where a text has no links, the published formula takes a logarithm to the base 1; 1 is added on both
+    sides of the fraction to keep it finite, which leaves the order of densities alone."""
     order: list[tuple[Node, bool]] = [(root, False)]
     nodes = []
     for x, in_link in order:  # grows while it is walked: no recursion, however deep the page
         nodes.append(x)
+        x.clear()
         for k in x.kids:
             if isinstance(k, Node):
                 if not k.off:
@@ -189,58 +235,51 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def core(root: Node, nodes: list[Node]) -> Node:
-    """The node with the greatest density sum that reaches the threshold of its path from the body."""
-    body = next((x for x in nodes if x.tag == "body"), root)
-    above = ("#page", "html") if body is not root else ("html",)
-    inside = [x for x in nodes if x.chars and x.tag not in above]
+def core(nodes: list[Node]) -> tuple[Node, set[Node]]:
+    """(the subtree of the main text, what is left out of it).
+
+    The core is the node below the body with the greatest density sum. An article or main element
+    around it is whole. Else the subtree grows from the core to the parent while anything beside it
+    reaches the threshold, or is a heading or a paragraph of its own words; what is beside it and does
+    not is left out.
+    """
+    body = next((x for x in nodes if x.tag == "body"), nodes[0])
+    inside = [x for x in nodes if x.chars and x is not body and x.tag not in ("#page", "html")]
     if not inside:
-        return body
-    best = max(inside, key=lambda x: x.total)
-    # the threshold: the least density on the path from the body to the greatest sum
-    threshold, x = best.density, best
-    while x is not None and x is not body:
-        threshold, x = min(threshold, x.density), x.parent
-    dense = [x for x in inside if x.density >= threshold and x.total > 0]
-    best = max(dense, key=lambda x: x.total, default=best)
-    # an article is whole: take the outermost article or main element around the core
-    found, x = best, best
-    while x is not None and x is not body:
+        return body, set()
+    best = max(inside, key=lambda x: (x.total, x.density))
+    path = [best]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(x.density for x in path)
+    for x in path:
         if x.tag in ("article", "main"):
-            found = x
-        x = x.parent
-    if found is best and best is body:  # a page whose body outweighs its one article
-        own = [x for x in inside if x.tag in ("article", "main")]
-        tops = [x for x in own if not any(_within(x, y) for y in own if y is not x)]
-        if tops and max(t.chars for t in tops) * 2 >= body.chars:
-            found = max(tops, key=lambda t: t.chars)
-    elif found is best:
-        # climb while the parent adds text that is as dense: paragraphs beside the core belong to it
-        while found.parent is not None and found is not body and found.tag != "body":
-            p = found.parent
-            rest, tags = p.chars - found.chars, max(p.tags - found.tags, 1)
-            links = p.link_chars - found.link_chars
-            if rest and (links * 2 > rest or rest / tags < min(threshold, 20)):
+            return x, set()
+    left_out: set[Node] = set()
+    found = best
+    for p in path[1:]:
+        beside = [k for k in p.kids if isinstance(k, Node) and k is not found and not k.off and k.chars]
+        # an element's link share tells lists of links, whose density a long body path can make low
+        low = {k for k in beside if k.tag not in HEADINGS and (k.link_chars * 2 > k.chars or k.density < threshold and k.tag not in PROSE)}
+        if len(low) == len(beside) and not any(isinstance(k, str) and k.strip() for k in p.kids):
+            if beside:
                 break
-            found = p
-    return found
+        found = p
+        left_out |= low
+    return found, left_out
 
 
-def _within(x: Node, y: Node) -> bool:
-    while x is not None:
-        if x is y:
-            return True
-        x = x.parent
-    return False
+PROSE = frozenset("p blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def blocks(node: Node) -> list[str]:
-    """Texts of the blocks below a node, in page order."""
+def blocks(node: Node, left_out: set[Node] = frozenset()) -> list[str]:
+    """Texts of the blocks below a node, in page order, without those left out."""
     out: list[str] = []
     now: list[str] = []
 
     def close():
-        text = _SPACE.sub(" ", unescape("".join(now)).replace("\x00", "")).strip()
+        text = _SPACE.sub(" ", unescape("".join(now))).strip()
         now.clear()
         if text:
             out.append(text)
@@ -257,7 +296,7 @@ def blocks(node: Node) -> list[str]:
                 now.append(k)
             elif k.tag == "br":
                 close()
-            elif not k.off:
+            elif not k.off and k not in left_out:
                 stack.append((k, 0))
         elif x.tag in BLOCKS:
             close()
@@ -265,18 +304,47 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
+def _release(root: Node, why: int) -> bool:
+    """Let nodes set aside for `why` count again; whether there are any."""
+    found, todo = False, [root]
+    for x in todo:
+        if x.off == why:
+            x.off, found = STAYS, True
+        todo += [k for k in x.kids if isinstance(k, Node) and k.off != NO_TEXT]
+    return found
+
+
+def _keep_articles(root: Node) -> None:
+    """A node set aside by a name alone counts if it holds an article or main element."""
+    todo = [root]
+    for x in todo:
+        if x.tag in ("article", "main"):
+            p = x.parent
+            while p is not None and p.off <= NAMED:
+                p.off, p = STAYS, p.parent
+        else:
+            todo += [k for k in x.kids if isinstance(k, Node) and k.off <= NAMED]
+
+
 def extract(page: str | None) -> str:
-    """Main text: blocks joined by one newline; empty for a null or empty page."""
+    """Main text: blocks joined by one newline; empty for a null or empty page. Where all text is
+    set aside by names, the names do not count; where by what the elements are, that does not."""
     if not page:
         return ""
     root = parse(page)
-    nodes = measure(root)
-    return "\n".join(blocks(core(root, nodes)))
+    _keep_articles(root)
+    for why in (STAYS, NAMED, ASIDE_ANYWAY):
+        if why == STAYS or _release(root, why):
+            found = "\n".join(blocks(*core(measure(root))))
+            if found or why == ASIDE_ANYWAY:
+                return found
+    return ""
 
 
 def extract_pages(pages: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep` of pages with text and n_chars (code points). Null html is an empty page;
-    pages are parsed whole, one by one; repeated rows are extracted alike."""
+    pages are parsed whole, one by one; repeated rows are extracted alike; an empty table gives no
+    rows. Columns called like an output column give way."""
 
     def make():
         def run(values):

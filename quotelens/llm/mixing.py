@@ -4,8 +4,8 @@ Every source s has a token target T_s. Among all document rates 0 <= r_i <= 2, t
 those that stay closest (Kullback-Leibler) to rate 1 and meet sum(r_i * size_i) = T_s. The
 convex dual has one multiplier per source, and its solution is an exponential tilt of the
 document's size: r_i = min(2, exp(lambda_s * z_i)), z_i the size over the source's mean size.
-Newton iterations find all multipliers at once, over a histogram of sizes whose number of rows
-does not grow with the documents. Rates become copies by diffusing the error from the largest
+Newton iterations find all multipliers at once, each a distributed sum over a histogram of sizes
+whose number of rows does not grow with the documents. Rates become copies by diffusing the error from the largest
 sizes to the smallest, so a source ends within about one small document of its target.
 """
 
@@ -16,6 +16,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotelens.llm.common import cut
+
 #: Words are runs of characters other than ASCII white space.
 NOT_WORD = r"[\x20\x09-\x0D]+"
 #: Size classes an octave; within one, sizes differ by about 1 %.
@@ -57,60 +59,46 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float
     return found.withColumn("target", target.cast("double")).select("source", "n", "source_size", "target")
 
 
-def solve_rates(hist: DataFrame, per_source: DataFrame, most: float = 2.0, steps: int = 40) -> DataFrame:
-    """source, bin, rate: Newton's method on the dual, kept inside a bracket.
+def solve_rates(hist: DataFrame, per_source: DataFrame, most: float = 2.0, steps: int = 80) -> DataFrame:
+    """source, target, bin, w, z, n, rate: Newton's method on the dual, kept inside a bracket.
 
-    hist has source, bin, n, words. A source's classes are gathered into one array, bounded by
-    the number of size classes whatever the number of documents. f(l) = sum words * min(most,
-    exp(l * z)) - T rises in l; each step is Newton's where it stays inside the bracket and
-    halves the bracket where it does not, so the iterations cannot diverge.
+    hist has source, bin, n, words. Each iteration is a distributed sum: every size class adds to the
+    value and the slope of its source's f(l) = sum words * min(most, exp(l * z)) - T, and a table
+    of one row a source takes the step. f rises in l; a step is Newton's where it stays inside the
+    bracket and halves the bracket where it does not, so the iterations cannot diverge. They end
+    when every source is within 1e-9 of its target; full sources take no part.
     """
-    z = (F.col("words") / F.col("n")) / (F.col("source_size") / F.col("n_all"))
-    joined = hist.filter("words > 0").alias("h").join(
-        per_source.withColumnRenamed("n", "n_all").alias("p"), F.col("h.source").eqNullSafe(F.col("p.source"))
-    )
-    arrays = (
-        joined.select("p.source", "bin", "words", "n", "n_all", "source_size", "target")
-        .withColumn("z", z)
-        .groupBy("source", "target", "source_size")
-        .agg(F.sort_array(F.collect_list(F.struct("bin", F.col("words").cast("double").alias("w"), "z", "n"))).alias("b"))
-    )
-    log_most = F.lit(math.log(most))
-
-    def rate(lam, zz):
-        return F.exp(F.least(lam * zz, log_most))
-
-    def step(state, _):
-        lam = state["lam"]
-        total = F.aggregate("b", F.lit(0.0), lambda a, x: a + x["w"] * rate(lam, x["z"])) - F.col("target")
-        slope = F.aggregate(
-            "b",
-            F.lit(0.0),
-            lambda a, x: a + F.when(lam * x["z"] < log_most, x["w"] * x["z"] * rate(lam, x["z"])).otherwise(0.0),
-        )
-        return F.transform(
-            F.array(F.struct(total.alias("f"), slope.alias("g"))),
-            lambda s: _next(state, lam, s),
-        )[0]
-
-    def _next(state, lam, s):
-        lo = F.when(s["f"] < 0, lam).otherwise(state["lo"])
-        hi = F.when(s["f"] < 0, state["hi"]).otherwise(lam)
-        newton = F.when(s["g"] > 0, lam - s["f"] / s["g"])
-        inside = newton.isNotNull() & (newton > lo) & (newton < hi)
-        return F.struct(
-            F.when(inside, newton).otherwise((lo + hi) / 2).alias("lam"), lo.alias("lo"), hi.alias("hi")
-        )
-
-    start = F.struct(F.lit(0.0).alias("lam"), F.lit(-2048.0).alias("lo"), F.lit(2048.0).alias("hi"))
-    solved = arrays.withColumn(
-        "lam", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["lam"])
-    )
+    limit = math.log(most)
     full = F.col("target") >= F.lit(float(most)) * F.col("source_size")
-    tilted = F.when(full, F.lit(float(most))).otherwise(rate(F.col("lam"), F.col("x.z")))
-    return solved.select("source", "target", "source_size", "lam", F.explode("b").alias("x")).select(
-        "source", "target", "lam", "x.bin", "x.w", "x.z", "x.n", tilted.alias("rate")
-    )
+    state = per_source.filter("source_size > 0").select(
+        F.col("source").alias("_s"), "target", "source_size", F.col("n").alias("n_all"), full.alias("full"),
+        F.lit(0.0).alias("lam"), F.lit(-2048.0).alias("lo"), F.lit(2048.0).alias("hi"),
+    )
+    classes = hist.filter("words > 0").select("source", "bin", "n", F.col("words").cast("double").alias("w"))
+
+    def met(now: DataFrame) -> DataFrame:
+        z = (F.col("w") / F.col("n")) / (F.col("source_size") / F.col("n_all"))
+        return classes.join(now, F.col("source").eqNullSafe(F.col("_s"))).withColumn("z", z)
+
+    tilt = F.exp(F.least(F.col("lam") * F.col("z"), F.lit(limit)))
+    for _ in range(steps):
+        state = cut(state)
+        sums = met(state).groupBy(F.col("source").alias("_t")).agg(
+            F.sum(F.col("w") * tilt).alias("_f"),
+            F.sum(F.when(F.col("lam") * F.col("z") < limit, F.col("w") * F.col("z") * tilt).otherwise(0.0)).alias("_g"),
+        )
+        f = F.col("_f") - F.col("target")
+        at = cut(state.join(sums, F.col("_s").eqNullSafe(F.col("_t"))).withColumn("_f", f))
+        off = at.filter(~F.col("full")).agg(F.max(F.abs("_f") / F.greatest("target", F.lit(1.0)))).first()[0]
+        if off is None or off <= 1e-9:
+            break
+        lo = F.when(F.col("_f") < 0, F.col("lam")).otherwise(F.col("lo"))
+        hi = F.when(F.col("_f") < 0, F.col("hi")).otherwise(F.col("lam"))
+        newton = F.when(F.col("_g") > 0, F.col("lam") - F.col("_f") / F.col("_g"))
+        lam = F.when(newton.isNotNull() & (newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
+        state = at.select("_s", "target", "source_size", "n_all", "full", lam.alias("lam"), lo.alias("lo"), hi.alias("hi"))
+    rate = F.when(F.col("full"), F.lit(float(most))).otherwise(tilt)
+    return met(state).select("source", "target", "lam", "bin", "w", "z", "n", rate.alias("rate"))
 
 
 def quotas(rates: DataFrame) -> DataFrame:
@@ -154,22 +142,20 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     """Per row of docs: doc_id, source, size, source_size, target, rate, copies, taken.
 
     size counts the words of the whole text. copies is 0, 1 or 2 (with most = 2). Which documents
-    of a size class get one copy more follows a hash of doc_id, so reruns agree; repeated rows
-    count as documents of their own. Null or empty texts have size 0 and one copy of nothing.
+    of a size class get one copy more follows a hash of doc_id and text, so reruns agree, and rows
+    without an id are dealt out like others; repeated rows count as documents of their own. Null or empty texts have size 0 and one copy of nothing.
     A null source is a source. An empty table gives no rows. Other columns are ignored.
 
     A class can hold a large part of all documents; its documents are numbered in runs of about
     RUN by hash, with the counts of the runs before added, so no task sees a whole class.
     """
-    from quotelens.llm.common import cut
-
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("_h"))
     sized = sized.withColumn(
         "bin",
         F.when(F.col("size") <= 0, F.lit(-1))
         .otherwise(F.floor(F.log2(F.col("size").cast("double")) * PER_OCTAVE))
         .cast("int"),
-    ).withColumn("_h", F.xxhash64(F.col("doc_id")))
+    )
     sized = cut(sized)  # words are counted once; the rest reads five narrow columns
     hist = sized.groupBy("source", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     hist = cut(hist)
@@ -209,7 +195,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(
         F.col("source").alias("_s"), F.col("bin").alias("_b"), F.col("_run").alias("_r"), "_before"
     )
-    rank = F.row_number().over(Window.partitionBy("source", "bin", "_run").orderBy("_h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "bin", "_run").orderBy("_h", "doc_id", "size"))
     ranked = rows.withColumn("_rank", rank).join(
         counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b")) & (F.col("_run") == F.col("_r"))
     )
