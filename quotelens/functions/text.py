@@ -22,20 +22,26 @@ ARABIC_SUFFIXES = ["هما", "كما", "هم", "هن", "كم", "نا", "ها", "
 # ---------------------------------------------------------------------------------------------------
 
 
-def _accents() -> tuple[str, str]:
-    """Latin letters with marks and their base letters, from Unicode's decompositions."""
-    source, base = [], []
-    for code in range(0xC0, 0x250):
+def _accents() -> tuple[str, str, dict[str, str]]:
+    """Characters whose Unicode decomposition is one ASCII letter or digit, those letters, and the
+    ligatures and digraphs of Latin letters with the letters that they stand for."""
+    source, base, several = [], [], {}
+    for code in range(0x80, 0x10000):
+        if 0xD800 <= code < 0xE000:
+            continue
         flat = unicodedata.normalize("NFKD", chr(code).lower())
         letters = [c for c in flat if not unicodedata.combining(c)]
-        if len(letters) == 1 and letters[0].isascii() and letters[0].isalnum():
+        plain = all(c.isascii() and c.isalnum() for c in letters)
+        if plain and len(letters) == 1:
             source.append(chr(code))
             base.append(letters[0])
-    return "".join(source), "".join(base)
+        elif plain and letters and (code < 0x250 or 0xFB00 <= code <= 0xFB06):
+            several[chr(code)] = "".join(letters)
+    return "".join(source), "".join(base), several
 
 
-_ACCENTED, _PLAIN = _accents()
-_TABLE = str.maketrans(_ACCENTED, _PLAIN)
+_ACCENTED, _PLAIN, _SEVERAL = _accents()
+_TABLE = str.maketrans(dict(zip(_ACCENTED, _PLAIN)) | _SEVERAL)
 
 
 def _translate(col: Column, same: dict[str, str]) -> Column:
@@ -45,6 +51,10 @@ def _translate(col: Column, same: dict[str, str]) -> Column:
 def norm_en(col: Column) -> Column:
     """Lower-case ASCII letters and digits, single spaces; marks on Latin letters are dropped."""
     flat = F.translate(F.lower(F.coalesce(col, F.lit(""))), _ACCENTED, _PLAIN)
+    wide = flat
+    for one, letters in _SEVERAL.items():
+        wide = F.replace(wide, F.lit(one), F.lit(letters))
+    flat = F.when(flat.rlike("[" + "".join(_SEVERAL) + "]"), wide).otherwise(flat)
     flat = F.regexp_replace(flat, "[\u0300-\u036f]", "")
     return F.trim(F.regexp_replace(flat, "[^a-z0-9]+", " "))
 

@@ -38,12 +38,12 @@ def rrf_fusion(spark, d):
 
 
 @query(
-    f"""WITH v AS ({_VEC}), q AS (SELECT vec_id // 100 AS q_id, vec_id AS word, 1.0 + vec_id % 3 AS idf, v FROM v WHERE vec_id % 50 = 0)
+    f"""WITH v AS ({_VEC}), q AS (SELECT vec_id // 100 AS q_id, vec_id AS word, 1.0 + vec_id % 3 AS idf, v FROM v WHERE vec_id % 100 = 0)
 SELECT q_id, label, round(sum(idf * m) / sum(idf), 5) AS score FROM (SELECT q_id, word, idf, p.label, max(list_dot_product(q.v, p.v)) AS m FROM q, v p WHERE p.label IS NOT NULL GROUP BY ALL) GROUP BY q_id, label"""
 )
 def maxsim_rerank(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.floor(F.col("vec_id") / 100).alias("q_id"), F.col("vec_id").alias("word"), (1.0 + F.col("vec_id") % 3).alias("idf"), F.col("embedding").alias("vec"))
+    q = e.filter("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / 100).alias("q_id"), F.col("vec_id").alias("word"), (1.0 + F.col("vec_id") % 3).alias("idf"), F.col("embedding").alias("vec"))
     p = e.filter("label is not null").select("label", F.col("vec_id").alias("word"), F.col("embedding").alias("vec"))
     pairs = q.select("q_id").distinct().crossJoin(F.broadcast(p.select("label").distinct()))
     return retrieval.max_sim(pairs, q, p, "q_id", "label")
@@ -176,7 +176,7 @@ def agreement_verdicts(spark, d):
 def _matches(spark, d):
     docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
     n = b.count()
-    c = seeds.topk_region(seeds.seed_clusters(seeds.seed_hits(docs, b, n)).filter("hits >= 6"))
+    c = seeds.topk_region(seeds.accepted_seeds(seeds.seed_clusters(seeds.seed_hits(docs, b, n))))
     return ledger.verify(c, docs, b, n)
 
 
@@ -283,9 +283,9 @@ def quota_tumbling(spark, d):
     return streams.quota(table(spark, d, "events"))
 
 
-@query("SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, count(*) > 10 AS over FROM events GROUP BY ALL HAVING count(*) > 10")
+@query("SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, count(*) > 2 AS over FROM events GROUP BY ALL HAVING count(*) > 2")
 def quota_over_cap(spark, d):
-    return streams.quota(table(spark, d, "events"), width="1 day", cap=10).filter("over")
+    return streams.quota(table(spark, d, "events"), width="1 day", cap=2).filter("over")
 
 
 @query(
@@ -302,17 +302,17 @@ def stream_dedup(spark, d):
     return streams.first_of_each(e.unionByName(e), "event_id").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 100000""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000""")
 def set_ops(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
     some = c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
-    return some.exceptAll(some.join(o.filter("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey")).distinct()
+    return some.exceptAll(some.join(o.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey")).distinct()
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
 def semi_anti(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_nationkey")
+    return c.join(o.filter("o_totalprice > 300000"), c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_nationkey")
 
 
 @query(

@@ -81,19 +81,19 @@ def token_df_idf(spark, d):
 
 @query(
     f"""WITH s AS (SELECT DISTINCT doc_id, stem FROM ({stem_rel(tokens_sql('documents', 'doc_id'))}))
-SELECT stem, count(*) AS df FROM s GROUP BY stem HAVING count(*) <= greatest(20, 0.05 * (SELECT count(*) FROM documents))"""
+SELECT stem, count(*) AS df FROM s GROUP BY stem HAVING count(*) <= greatest(1500, 0.035 * (SELECT count(*) FROM documents))"""
 )
 def rare_stems(spark, d):
-    return retrieval.rare_stems(table(spark, d, "documents"), "doc_id", 0.05, 20)
+    return retrieval.rare_stems(table(spark, d, "documents"), "doc_id", 0.035, 1500)
 
 
 def _all_grams(rel, key):
     return f"SELECT DISTINCT n, gram, {key} FROM ({grams_sql(rel, key, 2)} UNION ALL {grams_sql(rel, key, 3)})"
 
 
-@query(f"SELECT n, gram, count(*) AS df FROM ({_all_grams('documents', 'doc_id')}) GROUP BY n, gram HAVING count(*) > 40")
+@query(f"SELECT n, gram, count(*) AS df FROM ({_all_grams('documents', 'doc_id')}) GROUP BY n, gram HAVING count(*) > 255")
 def high_df_grams(spark, d):
-    return tokens.dropped_grams(table(spark, d, "documents"), "doc_id", most=40)
+    return tokens.dropped_grams(table(spark, d, "documents"), "doc_id", most=255)
 
 
 _POST = f"SELECT n, gram, item_id, df FROM (SELECT *, count(*) OVER (PARTITION BY n, gram) AS df FROM ({_all_grams('benchmark', 'item_id')})) WHERE df <= 255"
@@ -132,7 +132,7 @@ def seed_clusters(spark, d):
 
 _TOPK = f"""SELECT doc_id, item_id, CAST(cluster AS BIGINT) AS cluster, a, b, hits, region, round(score, 4) AS score,
  CAST(row_number() OVER (PARTITION BY doc_id, region ORDER BY score DESC, item_id, a, cluster) AS INTEGER) AS rank
-FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, region) AS best FROM (SELECT *, CAST(a // 8 AS BIGINT) AS region FROM ({_CLUSTERS}) WHERE score >= 12 OR hits >= 2))
+FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, region) AS best FROM (SELECT *, CAST(a // 8 AS BIGINT) AS region FROM ({_CLUSTERS}) WHERE score >= 12 AND (hits >= 2 OR score >= 12)))
 WHERE score >= 0.3 * best QUALIFY rank <= 24"""
 
 
@@ -158,16 +158,15 @@ def seed_rounds(spark, d):
     return seeds.rounds(_hits(spark, d))
 
 
-_PHRASES = f"SELECT item_id, w[1:8] AS w FROM ({words_sql('benchmark', 'item_id')}) WHERE len(w) >= 8"
-
-
 @query(
-    f"""SELECT item_id, doc_id, CAST(k - 1 AS INTEGER) AS at FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM ({words_sql('documents', 'doc_id')}) WHERE len(w) >= 8) t
-JOIN ({_PHRASES}) p ON array_to_string(t.w[k : k + 7], ' ') = array_to_string(p.w, ' ')"""
+    f"""WITH p AS (SELECT item_id, k - 1 AS off, least(len(w), 8) AS n, array_to_string(w[k : k + least(len(w), 8) - 1], ' ') AS gram
+ FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 0) + 2)) AS k FROM ({words_sql('benchmark', 'item_id')}) WHERE len(w) > 0)),
+t AS (SELECT doc_id, k - 1 AS place, n, array_to_string(w[k : k + n - 1], ' ') AS gram
+ FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM ({words_sql('documents', 'doc_id')}), (SELECT DISTINCT n FROM p) WHERE len(w) >= n))
+SELECT item_id, CAST(off AS INTEGER) AS off, doc_id, CAST(place AS INTEGER) AS "at" FROM t JOIN p ON t.n = p.n AND t.gram = p.gram"""
 )
 def contains_phrase(spark, d):
-    b = tokens.with_words(table(spark, d, "benchmark"), "item_id").filter(F.size("w") >= 8)
-    return families.contains_phrase(b.select("item_id", F.array_join(F.slice("w", 1, 8), " ").alias("text")), table(spark, d, "documents"), "item_id", "doc_id")
+    return families.phrase_places(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
 
 
 _TRI = f"SELECT DISTINCT doc_id, gram FROM ({grams_sql('documents', 'doc_id', 3)})"
@@ -175,12 +174,12 @@ _TRI = f"SELECT DISTINCT doc_id, gram FROM ({grams_sql('documents', 'doc_id', 3)
 
 @query(
     f"""WITH g AS MATERIALIZED ({_TRI}), s AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
-k AS (SELECT gram FROM g GROUP BY gram HAVING count(*) BETWEEN 2 AND 60),
+k AS (SELECT gram FROM g GROUP BY gram HAVING count(*) BETWEEN 2 AND 255),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN k ON x.gram = k.gram JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL)
 SELECT a, b, shared FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE shared >= 5 AND shared >= 0.3 * least(sa.size, sb.size)"""
 )
 def trigram_families(spark, d):
-    return families.trigram_families(table(spark, d, "documents"), "doc_id", 5, 0.3, 60)
+    return families.trigram_families(table(spark, d, "documents"), "doc_id", 5, 0.3)
 
 
 @query(
@@ -217,14 +216,15 @@ _STEMS = lambda rel, key: f"SELECT DISTINCT {key}, stem FROM ({stem_rel(tokens_s
 
 @query(
     f"""WITH q AS ({_STEMS('benchmark', 'item_id')}), p AS MATERIALIZED ({_STEMS('documents', 'doc_id')}), n AS (SELECT ln(count(*)) AS ln_n FROM documents),
-df AS (SELECT stem, count(*) AS df FROM p GROUP BY stem HAVING count(*) <= 100), len AS (SELECT doc_id, len(w) AS len FROM ({words_sql('documents', 'doc_id')})),
+df AS (SELECT stem, count(*) AS df FROM p GROUP BY stem HAVING count(*) <= greatest(1500, 0.05 * (SELECT count(*) FROM documents))), len AS (SELECT doc_id, len(w) AS len FROM ({words_sql('documents', 'doc_id')})),
 h AS (SELECT item_id, doc_id, count(*) AS shared, sum(ln_n - ln(df)) AS raw FROM q JOIN df USING (stem) JOIN p USING (stem), n GROUP BY ALL HAVING count(*) >= 2),
 s AS (SELECT item_id, doc_id, shared, round(raw / (1 + 0.5 * ln(greatest(1.0, len / 20))), 5) AS score FROM h JOIN len USING (doc_id))
 SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""
 )
 def lexical_meaning(spark, d):
     docs = table(spark, d, "documents")
-    return retrieval.lexical(table(spark, d, "benchmark"), docs, docs.count(), "item_id", "doc_id", 100, 10)
+    n = docs.count()
+    return retrieval.lexical(table(spark, d, "benchmark"), docs, n, "item_id", "doc_id", max(1500, int(0.05 * n)), 10)
 
 
 @query()
@@ -237,15 +237,10 @@ def topic_search(spark, d):
 @query(
     f"""SELECT tok, exact, affixed, docs, array_to_string(list_sort(docs_list)[1:5], ',') AS first_docs FROM (
 SELECT stem AS tok, count(*) FILTER (tok = stem) AS exact, count(*) FILTER (tok <> stem) AS affixed, count(DISTINCT doc_id) AS docs, list(DISTINCT doc_id) AS docs_list
-FROM ({stem_rel(tokens_sql('documents', 'doc_id'))}) WHERE length(stem) >= 9 GROUP BY stem)"""
+FROM ({stem_rel(tokens_sql('documents', 'doc_id'))}) GROUP BY stem)"""
 )
 def word_counts(spark, d):
-    t = retrieval.tokens(table(spark, d, "documents"), "doc_id").withColumn("stem", T.stem_en(F.col("tok"))).filter(F.length("stem") >= 9)
-    out = t.groupBy("stem").agg(
-        F.count_if(F.col("tok") == F.col("stem")).alias("exact"), F.count_if(F.col("tok") != F.col("stem")).alias("affixed"),
-        F.countDistinct("doc_id").alias("docs"), F.array_join(F.slice(F.array_sort(F.collect_set("doc_id")), 1, 5), ",").alias("first_docs"),
-    )
-    return out.withColumnRenamed("stem", "tok")
+    return retrieval.word_counts(table(spark, d, "documents"), "doc_id")
 
 
 @query(
@@ -258,10 +253,16 @@ def sentence_windows(spark, d):
     return w.select("doc_id", F.explode(T.windows(F.size("w"))).alias("x")).select("doc_id", "x.a", "x.b")
 
 
-LEXICON = [("report", "is it"), ("report", "of the"), ("opener", "and"), ("opener", "and the")]
+LEXICON = [("is it", "report"), ("of the", "report"), ("and", "opener"), ("and the", "opener")]
+_LEX = ", ".join(f"('{p}', '{k}', {len(p.split())})" for p, k in LEXICON)
 
 
-@query()
+@query(
+    f"""WITH t AS ({tokens_sql('documents', 'doc_id')}), w AS ({words_sql('documents', 'doc_id')}),
+h AS (SELECT t.doc_id, t.pos, x.kind, x.phrase, x.words FROM t JOIN w USING (doc_id) JOIN (VALUES {_LEX}) x(phrase, kind, words)
+ ON array_to_string(w.w[t.pos + 1 : t.pos + x.words], ' ') = x.phrase QUALIFY row_number() OVER (PARTITION BY t.doc_id, t.pos ORDER BY x.words DESC) = 1)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, kind, phrase, CAST(words AS INTEGER) AS words FROM h
+QUALIFY pos >= coalesce(max(pos + words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"""
+)
 def phrase_cues(spark, d):
     return families.phrase_cues(table(spark, d, "documents"), "doc_id", LEXICON)
-

@@ -68,22 +68,31 @@ def asr_words(body: Column) -> Column:
     return F.when(F.size(F.coalesce(a["words"], F.array())) > 0, from_words).when(F.size(F.coalesce(a["segments"], F.array())) > 0, from_segments).otherwise(from_text)
 
 
-_TIME = r"(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{3})"
+_TIME = r"(?:(\d+):)?(\d{1,2}):(\d{2})(?:[.,](\d{1,3}))?"
 
 
 def _seconds(col: Column, group: int) -> Column:
     part = lambda i: F.coalesce(F.try_to_number(F.regexp_extract(col, rf"{_TIME}\s*-->\s*{_TIME}", group + i), F.lit("999999")).cast("double"), F.lit(0.0))
-    return part(0) * 3600 + part(1) * 60 + part(2) + part(3) / 1000
+    fraction = F.concat(F.lit("0."), F.regexp_extract(col, rf"{_TIME}\s*-->\s*{_TIME}", group + 3), F.lit("0")).cast("double")
+    return part(0) * 3600 + part(1) * 60 + part(2) + fraction
 
 
 def subtitle_words(df: DataFrame, key: str, col: str) -> DataFrame:
-    """key, cue, w, start, end from SRT or VTT text: each cue's words spread evenly over its time."""
+    """key, cue, w, start, end from SRT or VTT text: each cue's words spread evenly over its time.
+
+    Fractions of seconds are optional. A text without any cue is read as plain text, without what looks
+    like subtitles' scaffolding (headers, notes, numbers, times): its words have no times."""
+    plain = df.filter(~F.coalesce(F.col(col).rlike(rf"{_TIME}[ \t]*-->[ \t]*{_TIME}"), F.lit(False)))
+    lines = F.filter(F.split(F.coalesce(F.col(col), F.lit("")), r"\r?\n"), lambda x: ~x.rlike(r"^\s*(WEBVTT.*|NOTE.*|\d+|.*-->.*)\s*$"))
+    bare = F.filter(F.split(F.regexp_replace(F.array_join(lines, " "), r"<[^>]+>", " "), r"\s+"), lambda w: w != "")
+    none = F.lit(None).cast("double")
+    untimed = plain.select(key, F.lit(0).alias("cue"), F.explode(bare).alias("w"), none.alias("start"), none.alias("end"))
     cues = df.select(key, F.posexplode(F.split(F.regexp_replace(col, r"\r\n?", "\n"), r"\n[ \t]*\n")).alias("cue", "body"))
     cues = cues.filter(F.col("body").rlike(rf"{_TIME}\s*-->\s*{_TIME}"))
-    said = F.regexp_replace(F.regexp_replace("body", rf"(?s)^.*?{_TIME}\s*-->\s*{_TIME}[^\n]*\n?", ""), r"<[^>]*>", "")
+    said = F.regexp_replace(F.regexp_replace("body", rf"(?s)^.*?{_TIME}\s*-->\s*{_TIME}[^\n]*\n?", ""), r"<[^>]+>", " ")
     ws = F.filter(F.split(said, r"\s+"), lambda w: w != "")
     rows = cues.select(key, "cue", F.explode(spread(ws, _seconds(F.col("body"), 1), _seconds(F.col("body"), 5))).alias("x"))
-    return rows.select(key, "cue", "x.w", "x.start", "x.end")
+    return rows.select(key, "cue", "x.w", "x.start", "x.end").unionByName(untimed)
 
 
 def stamped_segments(df: DataFrame, key: str, col: str, most: float = 30.0) -> DataFrame:

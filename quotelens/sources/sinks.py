@@ -58,8 +58,8 @@ def paragraphs(df: DataFrame, key: str, words: str) -> DataFrame:
 
 
 def srt_cues(df: DataFrame, key: str, words: str) -> DataFrame:
-    """key, g, srt: a cue ends at 10 words, 6 s, a pause of 1.2 s, or from 4 words at a sentence end;
-    cues never overlap."""
+    """key, g, srt: a cue ends at 10 words, 6 s, a pause of 1.2 s, or from 4 words at a sentence end. A cue
+    lasts 0.4 s at least and never runs into the next one, but 0.1 s in any case."""
 
     def closes(n, start, x, nxt):
         pause = nxt["start"] - x["end"]
@@ -67,7 +67,8 @@ def srt_cues(df: DataFrame, key: str, words: str) -> DataFrame:
 
     cues = _grouped(df, key, words, closes)
     nxt = F.lead("start").over(Window.partitionBy(key).orderBy("g"))
-    end = F.least("end", F.coalesce(nxt, F.col("end")))
+    end = F.greatest("end", F.col("start") + 0.4)
+    end = F.when(nxt.isNull(), end).otherwise(F.least(end, F.greatest(nxt, F.col("start") + 0.1)))
     line = F.concat_ws("\n", (F.col("g") + 1).cast("string"), F.concat(srt_clock(F.col("start")), F.lit(" --> "), srt_clock(end)), F.col("text"))
     return cues.select(key, "g", "n", line.alias("srt"))
 
