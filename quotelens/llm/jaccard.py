@@ -193,17 +193,17 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     Which row stays is found over narrow columns, with partial minima before each shuffle; then the
     texts are dealt once, by set and row, so a group of very many copies is spread over all tasks.
     """
-    own, row, size, head = (fresh(docs, c) for c in ("_own", "_row", "_size", "_head"))
+    own, row, size, head, set_, kept_row = (fresh(docs, c) for c in ("_own", "_row", "_size", "_head", "_set", "_stays"))
     hashable = [quoted(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     marked = docs.withColumn(row, F.xxhash64(*hashable)).withColumn(size, F.length("text")).withColumn(head, F.substring("text", 1, 64))
     keyed = marked.filter("doc_id is not null")
     rows, labels = linked_sets(keyed.select("doc_id", size, head, row, "text"), k, percent, ["doc_id", size, head, row])
     best = lambda by, x: x.groupBy(by).agg(F.min("_key").alias("_key"))
-    keys = rows.filter("id is not null").select("id", F.struct("doc_id", size, head, row, F.col("id").alias("_set")).alias("_key"))
+    keys = rows.filter("id is not null").select("id", F.struct("doc_id", size, head, row, F.col("id").alias(set_)).alias("_key"))
     groups = best("id", keys).join(labels, "id", "left").select(F.coalesce("component", "id").alias("_group"), "_key")
-    stays = best("_group", groups).select(F.col("_key._set").alias("_set"), F.col(f"_key.{row}").alias("_stays"))
+    stays = best("_group", groups).select(F.col(f"_key.{set_}").alias(set_), F.col(f"_key.{row}").alias(kept_row))
     made = lambda: lambda texts: ([links.set_id(s) if len(s) else None for s in links.shingle_sets(texts, k)],)
     named = map_texts(keyed, made, f"`{own}` long", [*docs.columns, row])
-    kept = named.join(stays, (F.col(own) == F.col("_set")) & (F.col(row) == F.col("_stays")), "left_semi").dropDuplicates([own, row])
+    kept = named.join(stays, (F.col(own) == F.col(set_)) & (F.col(row) == F.col(kept_row)), "left_semi").dropDuplicates([own, row])
     empty = named.filter(F.col(own).isNull()).dropDuplicates(["doc_id", row])
     return kept.select(*map(quoted, docs.columns)).unionByName(empty.select(*map(quoted, docs.columns))).unionByName(docs.filter("doc_id is null"))
