@@ -35,9 +35,9 @@ def reach(cues: DataFrame, places: DataFrame, key: str, most: int = 45) -> DataF
 
 
 def next_leading(cues: DataFrame, key: str) -> DataFrame:
-    """cues with next_pos: where the next leading cue of the document begins, null after the last."""
-    later = Window.partitionBy(key).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    return cues.withColumn("next_pos", F.first(F.when(~F.col("trailing"), F.col("pos")), ignorenulls=True).over(later))
+    """cues with next_pos: where the next leading cue of the document that begins later does, or null."""
+    later = Window.partitionBy(key).orderBy("pos").rangeBetween(1, Window.unboundedFollowing)
+    return cues.withColumn("next_pos", F.min(F.when(~F.col("trailing"), F.col("pos"))).over(later))
 
 
 def unanswered(cues: DataFrame, cites: DataFrame, key: str, answer: int = 16) -> DataFrame:
