@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotelens.functions.align import align, summarize, verdict, weight
+from quotelens.functions.align import align, diagonal_band, summarize, verdict, weight
 from quotelens.operators.tokens import document_frequency, with_words
 
 MATCH = (
@@ -20,7 +20,8 @@ RANK = {"verbatim": 0, "partial": 1, "lead": 2, "echo": 3, "reject": 4}
 
 
 def verify(clusters: DataFrame, docs: DataFrame, passages: DataFrame, n_passages: int, doc: str = "doc_id", pid: str = "item_id", margin: int = 25) -> DataFrame:
-    """One aligned, judged row for each cluster that gives an alignment.
+    """One aligned, judged row for each cluster that gives an alignment, near the diagonals of shared
+    word pairs.
 
     Each cluster carries its own slice of the document and its passage, with the idf of the
     passage's words, so the kernel runs on independent rows in Arrow batches: no document and no
@@ -47,7 +48,8 @@ def verify(clusters: DataFrame, docs: DataFrame, passages: DataFrame, n_passages
             for r in pdf.itertuples(index=False):
                 spoken, source, known = r.said.split(), r.written.split(), json.loads(r.idf)
                 value = lambda w, known=known: known.get(w, unknown)
-                al = align(spoken, source, lambda w, value=value: weight(value(w)))
+                band = diagonal_band(spoken, source)
+                al = align(spoken, source, lambda w, value=value: weight(value(w)), band=band) if band else None
                 if al is None:
                     continue
                 c = summarize(al, spoken, source, value)

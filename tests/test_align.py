@@ -1,6 +1,6 @@
 import random
 
-from quotelens.functions.align import DIFF, EXACT, GAP, align, summarize, verdict
+from quotelens.functions.align import DIFF, EXACT, GAP, align, diagonal_band, summarize, verdict
 from quotelens.functions.text import py_within
 
 
@@ -60,3 +60,13 @@ def test_verdicts():
 
 def test_within():
     assert py_within("abc", "abd", 1) and not py_within("abc", "axd", 1) and py_within("", "a", 1)
+
+
+def test_band_holds_the_alignment():
+    p = [f"w{i}" for i in range(60)]
+    t = ["x"] * 10 + p[20:40] + ["y"] * 10
+    band = diagonal_band(t, p)
+    assert band == (10 - 16, 10 + 16)
+    al, free = align(t, p, one, band=band), align(t, p, one)
+    assert (al.ts, al.te, al.ps, al.pe) == (free.ts, free.te, free.ps, free.pe) == (10, 30, 20, 40)
+    assert diagonal_band(["a"], ["b", "c"]) is None
