@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quotelens.plans import ledger_queries, span_queries, table_queries, text_queries  # noqa: F401
+from quotelens.plans import display_queries, ledger_queries, span_queries, table_queries, text_queries  # noqa: F401
 from quotelens.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
