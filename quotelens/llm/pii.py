@@ -397,7 +397,7 @@ def fit(docs: DataFrame) -> Model:
 
 
 def find(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns `keep` with n_email, n_ip, n_card, n_phone, base_sha256 and spans.
+    """Columns `keep` with n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans and n_spans (all spans).
 
     Null and empty texts have no spans. Repeated rows are judged one by one. Texts are read whole.
     """
@@ -411,12 +411,12 @@ def find(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             for text in texts:
                 base, every = all_spans(text, own)
                 counts = [sum(s.kind == k for s in base) for k in KINDS]
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-            return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(6)]
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every)))
+            return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(7)]
 
         return judge
 
-    return map_texts(docs, make, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", keep)
+    return map_texts(docs, make, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long", keep)
 
 
 def redacted(text: str, spans: list[Span]) -> str:

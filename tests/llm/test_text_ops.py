@@ -165,6 +165,7 @@ def test_pii_end_to_end(spark):
     got = {r.doc_id: r for r in pii.find(d, model, ["doc_id"]).collect()}
     assert got[0].n_email == 1 and got[0].n_phone == 1 and got[0].base_sha256 == hashlib.sha256(got[0].spans.encode()).hexdigest()
     assert got[101].spans == got[102].spans == got[103].spans == ""
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) for r in got.values())
     red = {r.doc_id: r.text for r in pii.redact(d, model).collect()}
     assert red[1] == "word [EMAIL] and [PHONE] end" and red[101] is None and red[103] == rows[-1][1]
     assert pii.find(d.limit(0), pii.fit(d.limit(0)), ["doc_id"]).count() == 0
