@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quotelens.operators import forms, originals, tokens
-from quotelens.plans.registry import norm_sql, query, table, words_sql
+from quotelens.operators import entries, forms, originals, tokens
+from quotelens.plans.registry import grams_sql, norm_sql, query, table, words_sql
 from quotelens.sources import markup
 
 TITLES, OPENERS, NO_VERBS = [("of", "the"), ("the",), ("it",)], ["is", "the", "a", "that", "for", "on"], ["to", "with"]
@@ -207,3 +207,74 @@ def markup_books(spark, d):
     book = F.concat(F.lit("#META# title\n#META#Header#End#\n"), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), line), "\n"))
     out = markup.markup_paragraphs(w.select("doc_id", book.alias("book")), "doc_id", "book")
     return out.select("doc_id", "para", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"), "heading")
+
+
+_E = "SELECT l_orderkey, l_linenumber AS n, l_linenumber * 5 + CAST(l_quantity AS BIGINT) % 4 AS a, l_linenumber * 5 + CAST(l_quantity AS BIGINT) % 4 + l_partkey % 9 AS b FROM lineitem"
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED ({_E}), o AS (SELECT l_orderkey, min({{'a': a, 'b': b, 'n': n}}) AS x FROM e GROUP BY l_orderkey
+UNION ALL SELECT o.l_orderkey, min({{'a': e.a, 'b': e.b, 'n': e.n}}) FROM o JOIN e ON e.l_orderkey = o.l_orderkey AND e.a > o.x.b GROUP BY o.l_orderkey)
+SELECT l_orderkey, CAST(x.n AS BIGINT) AS n, CAST(x.a AS BIGINT) AS a, CAST(x.b AS BIGINT) AS b FROM o"""
+)
+def owner_spans(spark, d):
+    q = F.col("l_quantity").cast("long") % 4
+    a = F.col("l_linenumber") * 5 + q
+    e = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), a.alias("a"), (a + F.col("l_partkey") % 9).alias("b"))
+    return entries.owners(e, "l_orderkey")
+
+
+@query(
+    f"""SELECT source, why, count(*) AS n FROM (SELECT source, CASE WHEN n = 0 THEN 'missing' WHEN n < 30 THEN 'too_short' END AS why FROM (SELECT source,
+CASE WHEN doc_id % 2 = 1 AND w[1:1] = ['the'] AND len(w) > 1 THEN len(w) - 1 ELSE len(w) END AS n FROM documents JOIN ({words_sql('documents', 'doc_id')}) USING (doc_id))) WHERE why IS NOT NULL GROUP BY ALL"""
+)
+def passages_left_out(spark, d):
+    p = entries.usable_passages(table(spark, d, "documents"), "text", 30, "The", F.col("doc_id") % 2 == 1)
+    return entries.left_out(p, "source")
+
+
+@query(
+    f"""WITH f AS ({grams_sql('benchmark', 'item_id', 4)}), b AS (SELECT DISTINCT doc_id FROM ({grams_sql('documents', 'doc_id', 4)}) WHERE gram IN (SELECT gram FROM f))
+SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM b) GROUP BY source"""
+)
+def corpus_without(spark, d):
+    docs = table(spark, d, "documents")
+    blocked = entries.held_out(docs, table(spark, d, "benchmark"), "doc_id", "item_id")
+    return entries.without(docs, blocked, "doc_id").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT tier, count(*) AS n, count(*) FILTER (status IN ('verbatim', 'partial') AND k % 5 > 0 AND k % 2 > 0 AND tier > 0 AND q BETWEEN 1 AND 10) AS doubtful, count(*) FILTER (status = 'partial' AND k % 4 = 0) AS listed
+FROM (SELECT l_partkey AS k, CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_partkey % 3 = 0 THEN 0 WHEN l_partkey % 7 < 3 AND l_linestatus = 'O' THEN 3 WHEN l_partkey % 7 < 3 THEN 2 ELSE 1 END AS tier,
+CASE l_returnflag WHEN 'A' THEN 'verbatim' WHEN 'N' THEN 'partial' ELSE 'meaning' END AS status FROM lineitem) GROUP BY tier"""
+)
+def entry_filters(spark, d):
+    k, q = F.col("l_partkey"), F.col("l_quantity").cast("long")
+    status = F.when(F.col("l_returnflag") == "A", "verbatim").when(F.col("l_returnflag") == "N", "partial").otherwise("meaning")
+    rows = table(spark, d, "lineitem").withColumn("tier", entries.tier(k % 3 == 0, k % 7 < 3, F.col("l_linestatus") == "O"))
+    flags = F.when(k % 4 == 0, F.array(F.lit("tail"))).otherwise(F.array().cast("array<string>"))
+    listed = entries.shown(status, flags, F.lit(None).cast("string"), "partial", flagged=True, unreviewed=True)
+    again = entries.doubtful(status, k % 5 == 0, k % 2 == 0, F.col("tier"), q)
+    return rows.groupBy("tier").agg(F.count("*").alias("n"), F.count_if(again).alias("doubtful"), F.count_if(listed).alias("listed"))
+
+
+@query(
+    """SELECT l_orderkey, array_to_string(list(p - 4 ORDER BY p), ',') AS moved FROM (SELECT l_orderkey, l_linenumber + CAST(l_quantity AS BIGINT) % 5 + 2 AS p FROM lineitem) GROUP BY l_orderkey HAVING min(p) >= 4"""
+)
+def rebased_positions(spark, d):
+    p = (F.col("l_linenumber") + F.col("l_quantity").cast("long") % 5 + 2).alias("p")
+    rows = table(spark, d, "lineitem").select("l_orderkey", p).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return rows.select("l_orderkey", F.array_join(entries.rebased(F.col("p"), F.lit(4)), ",").alias("moved")).filter("moved is not null")
+
+
+GRADES = [("r returned", "weak"), ("a accepted", "sound")]
+
+
+@query(
+    """SELECT grade, CASE clean WHEN 'r returned' THEN 'weak' WHEN 'a accepted' THEN 'sound' ELSE grade END AS shown, count(*) AS n FROM (SELECT grade, trim(regexp_replace(lower(grade), '[^a-z]+', ' ', 'g')) AS clean
+FROM (SELECT l_returnflag || CASE l_returnflag WHEN 'R' THEN ' - Returned.' WHEN 'A' THEN ': accepted' ELSE '?' END AS grade FROM lineitem)) GROUP BY ALL"""
+)
+def grade_wording(spark, d):
+    tail = F.when(F.col("l_returnflag") == "R", " - Returned.").when(F.col("l_returnflag") == "A", ": accepted").otherwise("?")
+    rows = table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", tail).alias("grade")).agg(F.count("*").alias("n"))
+    return entries.graded(rows, spark.createDataFrame(GRADES, "key string, name string"), "grade").select("grade", "shown", "n")
