@@ -123,6 +123,7 @@ def diff_marks(ops: DataFrame, key: str) -> DataFrame:
     """Moved words: two diffs at most 12 ops apart that mirror each other (key, i, said, written)."""
     x = ops.select(key, F.col("i").alias("i1"), F.col("said").alias("s1"), F.col("written").alias("w1"))
     y = ops.select(key, F.col("i").alias("i2"), F.col("said").alias("s2"), F.col("written").alias("w2"))
-    pairs = x.join(y, key).filter((F.col("i2") > F.col("i1")) & (F.col("i2") - F.col("i1") <= 12) & (F.col("s1") == F.col("w2")) & (F.col("w1") == F.col("s2")))
+    mirrored = [F.col(key) == F.col("_key"), F.col("s1") == F.col("w2"), F.col("w1") == F.col("s2"), F.col("i2").between(F.col("i1") + 1, F.col("i1") + 12)]
+    pairs = x.join(y.withColumnRenamed(key, "_key"), mirrored)
     first = Window.partitionBy(key, "i1").orderBy("i2")
     return pairs.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(key, "i1", "i2")

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quotelens.operators import entries, forms, originals, tokens
-from quotelens.plans.registry import grams_sql, norm_sql, query, table, words_sql
-from quotelens.sources import markup
+from quotelens.operators import entries, evaluate, families, forms, intervals, ledger, originals, tokens
+from quotelens.plans.registry import grams_sql, norm_sql, query, table, tokens_sql, words_sql
+from quotelens.sources import markup, sinks
 
 TITLES, OPENERS, NO_VERBS = [("of", "the"), ("the",), ("it",)], ["is", "the", "a", "that", "for", "on"], ["to", "with"]
 BLESS_FIRST, BLESS, BLESS_ENDS, BLESS_TAIL = "of", ["of", "and", "in", "to"], ["of", "and", "to"], ["by", "as"]
@@ -278,3 +278,52 @@ def grade_wording(spark, d):
     tail = F.when(F.col("l_returnflag") == "R", " - Returned.").when(F.col("l_returnflag") == "A", ": accepted").otherwise("?")
     rows = table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", tail).alias("grade")).agg(F.count("*").alias("n"))
     return entries.graded(rows, spark.createDataFrame(GRADES, "key string, name string"), "grade").select("grade", "shown", "n")
+
+
+@query(f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, tok FROM ({tokens_sql('documents', 'doc_id')}) WHERE tok IN ('the', 'of', 'de')")
+def masked_words(spark, d):
+    return families.mask_words(table(spark, d, "documents"), "doc_id", ["the", "of", "de"])
+
+
+@query(
+    """WITH o AS (SELECT l_orderkey, l_linenumber AS i, l_partkey % 4 AS said, l_suppkey % 4 AS written FROM lineitem)
+SELECT x.l_orderkey, x.i AS i1, min(y.i) AS i2 FROM o x JOIN o y ON x.l_orderkey = y.l_orderkey AND y.i BETWEEN x.i + 1 AND x.i + 12 AND x.said = y.written AND x.written = y.said GROUP BY ALL"""
+)
+def moved_words(spark, d):
+    ops = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber AS i", "l_partkey % 4 AS said", "l_suppkey % 4 AS written")
+    return ledger.diff_marks(ops, "l_orderkey")
+
+
+@query(
+    """WITH m AS (SELECT l_orderkey, l_linenumber, CASE WHEN min(l_partkey) % 3 = 0 THEN l_linenumber END AS mark FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT l_orderkey, l_linenumber, min(mark) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mark FROM m"""
+)
+def next_marks(spark, d):
+    m = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    m = m.select("l_orderkey", "l_linenumber", F.when(F.col("p") % 3 == 0, F.col("l_linenumber")).alias("mark"))
+    return intervals.fill_back(m, "l_orderkey", "l_linenumber", "mark")
+
+
+_ITEMS = "SELECT DISTINCT l_orderkey, l_linenumber AS item, l_linenumber * 5 AS a, l_linenumber * 5 + 4 + l_partkey % 7 AS b, l_suppkey % 5 AS pid FROM lineitem"
+_FOUND = "SELECT DISTINCT l_orderkey, l_linenumber * 6 AS ts, l_linenumber * 6 + 3 + l_suppkey % 6 AS te, l_partkey % 5 AS pid FROM lineitem"
+
+
+@query(
+    f"""WITH j AS (SELECT i.*, f.pid AS fpid, greatest(least(b, te) - greatest(a, ts), 0) AS inter, greatest(b, te) - least(a, ts) AS whole FROM ({_ITEMS}) i JOIN ({_FOUND}) f USING (l_orderkey))
+SELECT l_orderkey, item, a, b, pid, max(inter) * 2 >= b - a AS covered, round(max(inter / whole), 6) AS iou, arg_max(fpid = pid, {{'i': inter, 'p': -fpid}}) AS first_right FROM j GROUP BY l_orderkey, item, a, b, pid"""
+)
+def item_detection(spark, d):
+    li = table(spark, d, "lineitem")
+    items = li.selectExpr("l_orderkey", "l_linenumber AS item", "l_linenumber * 5 AS a", "l_linenumber * 5 + 4 + l_partkey % 7 AS b", "l_suppkey % 5 AS pid").distinct()
+    found = li.selectExpr("l_orderkey", "l_linenumber * 6 AS ts", "l_linenumber * 6 + 3 + l_suppkey % 6 AS te", "l_partkey % 5 AS pid").distinct()
+    return evaluate.detection(items, found, "l_orderkey")
+
+
+@query(
+    """SELECT l_orderkey, string_agg(printf('%d:%02d', s // 60, s % 60) || ' ' || l_linestatus || ': ' || t, chr(10) ORDER BY s, l_linestatus, t) AS lines FROM (
+SELECT l_orderkey, l_linenumber * 37 AS s, l_linestatus, CASE WHEN l_partkey % 2 = 0 THEN 'a b c d e f g h…' ELSE 'a b ' || l_partkey END AS t FROM lineitem) GROUP BY l_orderkey"""
+)
+def description_lines(spark, d):
+    text = F.when(F.col("l_partkey") % 2 == 0, "a b c d e f g h i j").otherwise(F.concat(F.lit("a b "), F.col("l_partkey").cast("string")))
+    rows = table(spark, d, "lineitem").withColumn("s", F.col("l_linenumber") * 37).withColumn("t", text)
+    return sinks.description_index(rows, "l_orderkey", "s", "l_linestatus", "t")
