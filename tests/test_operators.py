@@ -141,3 +141,16 @@ def test_printed_numbers_form_no_pairs(spark):
 
     walk(df._jdf.queryExecution().executedPlan())
     assert rows and max(rows) <= 4001  # one row a question, not one for each unit of its base
+
+
+def test_phrase_cues_send_no_text_along(spark):
+    from quotelens.plans.text_queries import LEXICON
+
+    docs = spark.createDataFrame([(1, "and the cat and is it of the end"), (2, None), (3, "and"), (3, "and the")], "doc_id long, text string")
+    got = families.phrase_cues(docs, "doc_id", LEXICON)
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 0, "opener", "and the", 2), (1, 3, "opener", "and", 1), (1, 4, "report", "is it", 2), (1, 6, "report", "of the", 2), (3, 0, "opener", "and the", 2),
+    ]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.split("\n") if "Generate" in x and "explode" in x]
+    assert not [x for x in plan.split("\n") if "Generate posexplode" in x]  # words leave their row as matches only
