@@ -220,6 +220,19 @@ def crc(i):
     return zlib.crc32(str(i).encode())
 
 
+def test_toxicity_learns_from_every_labelled_row_in_parts(spark):
+    # the bad word stands far behind 10,000 characters, and in rows beyond 3,000 of a class
+    filler = "plain calm words stand here and more of them follow " * 250
+    docs = [(i, filler + ("vilest gutterword" if i % 4 == 0 else "kindest greeting")) for i in range(240)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    net = toxicity.fit(d, labels, chars=300_000)
+    again = toxicity.fit(d.repartition(3), labels, chars=300_000)
+    assert (net.e == again.e).all() and (net.out == again.out).all() and (net.shift == again.shift).all()
+    got = {x.doc_id: x.score >= toxicity.AT for x in toxicity.score(d, net, ["doc_id"]).collect()}
+    assert got == {i: i % 4 == 0 for i in range(240)}
+
+
 def test_toxicity_learns_without_held_out_rows(spark):
     r = random.Random(2)
     bad = ["grumblefoo", "snarkibar", "grumblequx"]
