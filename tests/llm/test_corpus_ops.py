@@ -233,6 +233,21 @@ def test_toxicity_learns_from_every_labelled_row_in_parts(spark):
     assert got == {i: i % 4 == 0 for i in range(240)}
 
 
+def test_toxicity_deals_texts_once_whatever_the_size_of_the_labels(spark):
+    d = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "d"), (3, "d"), (5, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 1), (4, 0), (5, 0)], "doc_id long, toxic int")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for labels that are large
+    try:
+        parts = toxicity._parts(d, labels, 2)
+        plan = parts._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+        got = [tuple(x) for p in parts.collect() for x in p.rows]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted(got) == [(1, 0, "a"), (1, 0, "b"), (1, 1, "a"), (1, 1, "b"), (3, 1, "d"), (3, 1, "d"), (5, 0, "")]
+
+
 def test_toxicity_learns_without_held_out_rows(spark):
     r = random.Random(2)
     bad = ["grumblefoo", "snarkibar", "grumblequx"]
