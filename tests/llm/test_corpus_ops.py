@@ -233,6 +233,27 @@ def test_toxicity_learns_from_every_labelled_row_in_parts(spark):
     assert got == {i: i % 4 == 0 for i in range(240)}
 
 
+@pytest.mark.parametrize("scanned", [False, True])
+@pytest.mark.parametrize("one_group", [False, True])
+def test_classes_of_a_key_give_fewer_links_than_there_are_classes(spark, scanned, one_group):
+    import numpy as np
+
+    m = 40  # near copies of each other, but for the last, which only shares the key
+    own = [np.sort(np.append(np.arange(1, 20), 100 + i)).astype(np.uint64) for i in range(m - 1)] + [np.arange(500, 520).astype(np.uint64)]
+    sets = spark.createDataFrame([(i, links.pack(x)) for i, x in enumerate(own)], "id long, set binary")
+    shared = spark.createDataFrame([(7, i) for i in range(m)], "key long, id long")
+    # id, n, need, c, g, reach, rest, hub, common, sig
+    rows = [(i, 20, 1, i, 1000 if one_group else i, 20, 20, i, -1, -1) for i in range(m)]
+    classes = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in links._CLASS))
+    found = links.crossing_links(shared, classes, lambda ids: sets.join(ids.distinct(), "id"), 75, 4, scanned)
+    got = [tuple(x) for x in found.collect()]
+    assert all(a < b < m - 1 for a, b in got)
+    assert {x.component for x in graph.components(found).collect()} == {0}
+    assert {x for pair in got for x in pair} == set(range(m - 1))
+    if one_group or not scanned:  # the pairs of whole texts of different groups are few by their number of keys
+        assert len(got) == m - 2
+
+
 def test_toxicity_deals_texts_once_whatever_the_size_of_the_labels(spark):
     d = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "d"), (3, "d"), (5, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (3, 1), (4, 0), (5, 0)], "doc_id long, toxic int")
