@@ -1,6 +1,11 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quotelens.operators import evaluate, families, intervals, ledger, retrieval, seeds, spans, tokens
+from quotelens.operators import evaluate, families, intervals, ledger, retrieval, seeds, sharing, spans, tokens
 from quotelens.sources import ingest, sinks
 
 
@@ -154,3 +159,50 @@ def test_phrase_cues_send_no_text_along(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert [x for x in plan.split("\n") if "Generate" in x and "explode" in x]
     assert not [x for x in plan.split("\n") if "Generate posexplode" in x]  # words leave their row as matches only
+
+
+def _pairs_by_hand(rows, least, share, most):
+    sets: dict = {}
+    for key, text in rows:
+        w = (text or "").lower().split()
+        sets.setdefault(key, set()).update(zip(w, w[1:], w[2:]))
+    df = Counter(g for s in sets.values() for g in s)
+    kept = {k: {g for g in s if 1 < df[g] <= most} for k, s in sets.items() if k is not None}
+    out = set()
+    for a in kept:
+        for b in kept:
+            n = len(kept[a] & kept[b]) if a < b else 0
+            if n >= least and n >= share * min(len(sets[a]), len(sets[b])):
+                out.add((a, b, n))
+    return out
+
+
+def test_families_by_hand(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        words = [f"w{int(rng.paretovariate(0.6)) % 60}" for _ in range(rng.choice((2, 6, 20, 60, 300)))]
+        if i % 3 and rows:
+            base = (rng.choice(rows)[1] or "").split()
+            words = [rng.choice(words) if rng.random() < 0.2 else w for w in base]
+        rows.append((i * 7 - 100, " ".join(words)))
+    rows += [(-100, "one more row of this key"), (None, rows[1][1]), (None, None), (9_000_000_000, rows[5][1]), (13, None)]
+    for most in (6, 255):
+        for size in ("4", "80"):  # one part of each layer, and three
+            before = spark.conf.get("spark.sql.shuffle.partitions")
+            spark.conf.set("spark.sql.shuffle.partitions", size)
+            try:
+                got = [tuple(r) for r in families.trigram_families(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", 5, 0.3, most).collect()]
+            finally:
+                spark.conf.set("spark.sql.shuffle.partitions", before)
+            assert len(got) == len(set(got)) and set(got) == _pairs_by_hand(rows, 5, 0.3, most) and got
+    assert families.trigram_families(spark.createDataFrame([], "doc_id long, text string"), "doc_id", 5, 0.3).count() == 0
+
+
+def test_families_leave_chance_pairs_where_they_are():
+    # 200 texts of need 100 share one gram, two of them 20 more of this layer: one pair of 19,900 leaves the cell
+    size = np.array([200] + [2] * 20, np.uint32)
+    ids = np.array([*range(200), *[3, 8] * 20], np.int64)
+    blobs = [pa.array([sharing._planes(x)], pa.binary()) for x in (size, ids, np.full(len(ids), 100, np.uint32))]
+    cell = pa.table([pa.array([0], pa.int32()), *blobs], names=["cell", "sizes", "ids", "needs"])
+    assert sharing._named(cell, 1).to_pylist() == [{"a": 3, "b": 8, "k": 21, "need": 100}]
