@@ -323,3 +323,19 @@ def test_pipeline_on_the_smallest_tables(spark):
         empty = stage(spark, empty, "/root/testdata/sf0.001")
     assert empty.count() == 0
     assert F is not None
+
+
+def test_near_documents_free_each_round_before_sets_travel_again(spark, monkeypatch):
+    freed, plain = [], links.cut
+
+    def watched(df, stays=False, frees=False):
+        freed.append((tuple(df.columns), frees))
+        return plain(df, stays, frees)
+
+    monkeypatch.setattr(links, "cut", watched)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:39])), (3, " ".join(words[1:])), (4, "nothing like the others at all"), (5, None)]
+    got = {r.doc_id: r.component_id for r in jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    for last in ("linked", "between", "set"):  # tested pairs of round one, open postings, sets of round two
+        assert any(frees for columns, frees in freed if last in columns), last
