@@ -254,6 +254,28 @@ def test_classes_of_a_key_give_fewer_links_than_there_are_classes(spark, scanned
         assert len(got) == m - 2
 
 
+def test_only_classes_of_pairs_that_can_be_links_send_their_sets(spark):
+    import numpy as np
+
+    # one group; 0 and 1 share the two keys that they need, the others one key with each other, and 9 and 10 too few for their sizes
+    own = {i: np.arange(100 * i, 100 * i + 20) for i in range(11)} | {0: np.arange(20), 1: np.arange(1, 21)}
+    sets = spark.createDataFrame([(i, links.pack(x.astype(np.uint64))) for i, x in own.items()], "id long, set binary")
+    keys = [(7, i) for i in range(11)] + [(8, 0), (8, 1), (9, 9), (9, 10)]
+    shared = spark.createDataFrame(keys, "key long, id long")
+    # id, n, need, c, g, reach, rest, hub, common, sig
+    rows = [(i, 40 if i == 10 else 20, 2, i, 1000, 40 if i == 10 else 20, 40, i, -1, -1) for i in range(11)]
+    classes = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in links._CLASS))
+    asked = set()
+
+    def given(ids):
+        asked.update(x.id for x in ids.collect())
+        return sets.join(ids.distinct(), "id")
+
+    found = links.crossing_links(shared, classes, given, 75, 4, True)
+    assert [tuple(x) for x in found.collect()] == [(0, 1)]
+    assert asked == {0, 1}
+
+
 def test_toxicity_deals_texts_once_whatever_the_size_of_the_labels(spark):
     d = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "d"), (3, "d"), (5, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (3, 1), (4, 0), (5, 0)], "doc_id long, toxic int")
